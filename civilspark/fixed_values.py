@@ -49,6 +49,7 @@ TFIDF_MAX_FEATURES = 15000
 TFIDF_NGRAM_RANGE = (1, 2)
 LINEAR_C = 1.5
 LINEAR_MAX_ITER = 1000
+LINEAR_TOLERANCE = 1e-4
 SEED = 42
 EMBEDDING_SIZE = 128
 HIDDEN_SIZE = 64

@@ -142,11 +142,16 @@ def fold_unicode(text: Column) -> Column:
     """Decode HTML entities, decompose (NFKD) and drop combining marks."""
     text = text_or_empty(text)
     source, target, safe = _latin_table()
-    # An ``&`` or a character beyond ASCII that is no safe Latin letter.  The
+    # As many bytes as characters: ASCII, told without a pattern.
+    ascii_only = F.octet_length(text) == F.length(text)
+    # Else any ``&`` or character beyond ASCII that is no safe Latin letter.  The
     # look-behind keeps the long class off the ASCII characters.
-    needs_python = text.rlike(f"[^\\x00-\\x25\\x27-\\x7f](?<![{safe}])")
+    needs_python = F.when(ascii_only, text.contains("&")).otherwise(
+        text.rlike(f"[^\\x00-\\x25\\x27-\\x7f](?<![{safe}])")
+    )
     return F.coalesce(
-        _fold_udf()(F.when(needs_python, text)), F.translate(text, source, target)
+        _fold_udf()(F.when(needs_python, text)),
+        F.when(ascii_only, text).otherwise(F.translate(text, source, target)),
     )
 
 

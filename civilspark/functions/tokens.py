@@ -31,13 +31,16 @@ def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """All n-grams of ``low`` to ``high`` tokens, joined by one space."""
 
     def of_size(words: Column, n: int) -> Column:
-        if n == 1:
-            return words
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        return F.when(
-            F.size(words) >= n,
-            F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
+        grams = words
+        for k in range(2, n + 1):
+            # Pair every shorter gram with the word after it; the last ones have
+            # none and drop out.
+            following = F.slice(words, F.lit(k), F.size(words))
+            grams = F.filter(
+                F.zip_with(grams, following, lambda g, w: F.concat(g, F.lit(" "), w)),
+                lambda g: g.isNotNull(),
+            )
+        return grams
 
     return let(
         tokens,
@@ -54,8 +57,13 @@ def term_counts(terms: Column) -> Column:
 
     def runs(ordered: Column) -> Column:
         starts = F.filter(
-            F.sequence(F.lit(1), F.size(ordered)),
-            lambda i: (i == 1) | (ordered[i - 1] != ordered[i - F.lit(2)]),
+            F.transform(
+                ordered,
+                lambda term, i: F.when(
+                    (i == 0) | (term != F.get(ordered, i - 1)), i + 1
+                ),
+            ),
+            lambda i: i.isNotNull(),
         )
         return let(
             starts,

@@ -24,8 +24,9 @@ def explain_by_occlusion(
 
     Every word is left out once and the variant is scored again.  The fan-out is
     bounded: only comments of 2 to 60 words are taken apart, and the regrouping
-    collects at most 60 rows per comment.  The spread by id before scoring puts
-    the variants over all tasks and is the partitioning the regrouping needs.
+    collects at most 60 rows per comment.  Other comments travel along as one row
+    with their words unexplained.  The spread by id before scoring puts the
+    variants over all tasks and is the partitioning the regrouping needs.
     """
     ids = list(ids)
     words = df.select(
@@ -34,19 +35,23 @@ def explain_by_occlusion(
         whitespace_tokens(F.col(text_col)).alias("_words"),
     )
     fits = F.size("_words").between(fixed.EXPLAIN_MIN_WORDS, fixed.EXPLAIN_MAX_WORDS)
-    plain = words.where(~fits).select(
-        *ids, S.plain_highlights(F.col("_words")).alias("token_highlights")
-    )
     variants = (
-        words.where(fits)
-        .select(*ids, "_baseline", "_words", F.posexplode("_words").alias("_pos", "_word"))
+        words.select(
+            *ids,
+            "_baseline",
+            F.when(fits, F.col("_words")).alias("_words"),
+            F.when(~fits, S.plain_highlights(F.col("_words"))).alias("_plain"),
+        )
+        .select("*", F.posexplode_outer("_words").alias("_pos", "_word"))
         .select(
             *ids,
             "_baseline",
+            "_plain",
             "_pos",
             "_word",
-            F.array_join(
-                F.filter("_words", lambda w, i: i != F.col("_pos")), " "
+            F.coalesce(
+                F.array_join(F.filter("_words", lambda w, i: i != F.col("_pos")), " "),
+                F.lit(""),
             ).alias("_variant"),
         )
         .repartition(*ids)
@@ -54,21 +59,21 @@ def explain_by_occlusion(
     importance = F.greatest(
         F.lit(0.0), F.col("_baseline") - S.overall_score(F.col("_scores"))
     )
-    explained = (
+    one = S.highlight(
+        F.col("_pos"),
+        F.col("_word"),
+        F.round("_importance", 4),
+        S.is_trigger(F.col("_importance"), F.col("_baseline")),
+    )
+    return (
         variants.withColumn("_scores", scorer(F.col("_variant")))
         .withColumn("_importance", importance)
         .groupBy(*ids)
         .agg(
             F.array_sort(
-                F.collect_list(
-                    S.highlight(
-                        F.col("_pos"),
-                        F.col("_word"),
-                        F.round("_importance", 4),
-                        S.is_trigger(F.col("_importance"), F.col("_baseline")),
-                    )
-                )
-            ).alias("token_highlights")
+                F.collect_list(F.when(F.col("_pos").isNotNull(), one))
+            ).alias("_explained"),
+            F.any_value("_plain", True).alias("_plain"),
         )
+        .select(*ids, F.coalesce("_plain", "_explained").alias("token_highlights"))
     )
-    return explained.unionByName(plain)

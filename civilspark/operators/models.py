@@ -120,6 +120,17 @@ def tfidf_terms(model: PipelineModel) -> list[str]:
     return next(s.vocabulary for s in model.stages if hasattr(s, "vocabulary"))
 
 
+# Every gradient step sends one copy of the coefficients per task, so a task
+# should bring enough rows to be worth it.
+ROWS_PER_FIT_TASK = 5000
+
+
+def _for_fitting(df: DataFrame, rows: int) -> DataFrame:
+    """Merge the tasks of a small training set; a large one stays as it is."""
+    wanted = max(1, -(-rows // ROWS_PER_FIT_TASK))
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+
+
 def add_features(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Apply a TF-IDF pipeline and drop its intermediate columns."""
     return model.transform(df).select(*df.columns, "features")
@@ -149,6 +160,7 @@ def fit_linear(
         inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc"
     ).fit(featured)
     rows = featured.count()
+    ready = indexer.transform(weighted).select("_label", "weight", "features")
     model = LogisticRegression(
         family="multinomial",
         featuresCol="features",
@@ -157,7 +169,8 @@ def fit_linear(
         regParam=1.0 / (c * max(rows, 1)),
         standardization=False,
         maxIter=max_iter,
-    ).fit(indexer.transform(weighted))
+        tol=fixed.LINEAR_TOLERANCE,
+    ).fit(_for_fitting(ready, rows))
     back = IndexToString(inputCol="prediction", outputCol="pred", labels=indexer.labels)
     return PipelineModel([indexer.setHandleInvalid("keep"), model, back])
 
@@ -309,7 +322,8 @@ def fit_binary_heads(
                 regParam=1.0 / (c * max(rows, 1)),
                 standardization=False,
                 maxIter=max_iter,
-            ).fit(weighted)
+                tol=fixed.LINEAR_TOLERANCE,
+            ).fit(_for_fitting(weighted, rows))
             bias[label] = float(model.intercept)
             values = model.coefficients.toArray()
             head = spark.createDataFrame(

@@ -9,15 +9,22 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, as_literals: bool = True
+) -> DataFrame:
     """Broadcast ``df`` when it provably has at most ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows.  A small table comes back as
     literal rows, so joining it neither shuffles the big side nor computes the
     table again; a larger one comes back unchanged and is joined the way Spark
-    chooses.  Meant for class-level and vocabulary-level tables with narrow rows.
+    chooses.  Meant for class-level and vocabulary-level tables with narrow rows;
+    with ``as_literals=False`` rows are only counted and stay in the JVM, which
+    suits wide rows of a table that is cheap to read.
     """
-    rows = df.limit(max_rows + 1).collect()
+    head = df.limit(max_rows + 1)
+    if not as_literals:
+        return F.broadcast(df) if head.count() <= max_rows else df
+    rows = head.collect()
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

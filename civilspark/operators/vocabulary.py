@@ -134,9 +134,10 @@ def masked_mean_pool(
     A document without tokens gets zeros (its length counts as 1).
     """
     known = broadcast_if_small(
-        vectors.select(F.col(idx_col).cast("int").alias("_idx"), vector_col)
+        vectors.select(F.col(idx_col).cast("int").alias("_idx"), vector_col),
+        as_literals=False,
     )
-    rows = df_nonpad(encoded, ids, ids_col).join(known, "_idx", "left")
+    rows = _non_pad_rows(encoded, ids, ids_col).join(known, "_idx", "left")
     sums = rows.groupBy(*ids).agg(
         F.count("_idx").alias("_n"),
         *[
@@ -151,7 +152,7 @@ def masked_mean_pool(
     return sums.select(*ids, F.posexplode(means).alias("dim", "mean"))
 
 
-def df_nonpad(encoded: DataFrame, ids: Sequence[str], ids_col: str) -> DataFrame:
+def _non_pad_rows(encoded: DataFrame, ids: Sequence[str], ids_col: str) -> DataFrame:
     """One row per non-pad token; a document of pads keeps one empty row."""
     kept = F.filter(F.col(ids_col), lambda i: i != fixed.PAD_INDEX)
     return encoded.select(*ids, F.explode_outer(kept).alias("_idx"))
