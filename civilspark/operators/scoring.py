@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from civilspark import fixed_values as fixed
 from civilspark.functions import scores as S
@@ -115,7 +116,7 @@ def network_scorer(
     from pyspark.ml.functions import predict_batch_udf
 
     predict = predict_batch_udf(
-        make_predict_fn, return_type="array<double>", batch_size=batch_size
+        make_predict_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size
     )
     return lambda text: S.score_array(labels, predict(text))
 
