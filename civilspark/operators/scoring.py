@@ -174,10 +174,15 @@ def wide_to_scores(df: DataFrame, labels: Sequence[str] = fixed.LABELS) -> Colum
 def _with_scores(
     df: DataFrame, text_col: str, scorer: Scorer, labels: Sequence[str]
 ) -> DataFrame:
-    """Add ``_cleaned``, ``_model_text`` and ``_scores``; blank text scores 0."""
+    """Add ``_cleaned``, ``_model_text`` and ``_scores``; blank text scores 0.
+
+    The three leave through a one-row generator.  A later filter on a verdict
+    would otherwise be pushed below the projection, and the text normalised and
+    scored once for the filter and once for the result.
+    """
     text = F.col(text_col)
     blank = is_blank(text)
-    return (
+    ready = (
         df.withColumn("_cleaned", F.when(blank, "").otherwise(clean_text(text)))
         .withColumn("_model_text", decode_leet(F.col("_cleaned")))
         .withColumn(
@@ -185,6 +190,9 @@ def _with_scores(
             F.when(blank, S.zero_scores(labels)).otherwise(scorer(F.col("_model_text"))),
         )
     )
+    return ready.select(
+        *df.columns, F.inline(F.array(F.struct("_cleaned", "_model_text", "_scores")))
+    )
 
 
 def judge(df: DataFrame, threshold: float | Column = fixed.THRESHOLD) -> DataFrame:
