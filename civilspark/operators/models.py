@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IndexToString,
     NGram,
@@ -34,8 +33,13 @@ from pyspark.sql.types import StructField, StructType
 from civilspark import fixed_values as fixed
 from civilspark.functions.regex import WORD
 from civilspark.functions.scores import argmax_index
+from civilspark.functions.tokens import term_counts
 from civilspark.operators import metrics
-from civilspark.operators.features import balanced_weights
+from civilspark.operators.features import (
+    balanced_weights,
+    ngram_terms,
+    tfidf_vocabulary,
+)
 from civilspark.operators.sizes import broadcast_if_small
 from civilspark.operators.vocabulary import build_vocabulary, decode, encode
 
@@ -76,9 +80,19 @@ def fit_tfidf(
     max_features: int = fixed.TFIDF_MAX_FEATURES,
     stop_words: Sequence[str] = tuple(fixed.STOP_WORDS),
 ) -> PipelineModel:
-    """TF-IDF pipeline: 1- and 2-grams, sublinear tf, smoothed idf, unit rows."""
-    to_counts = Pipeline(
-        stages=[
+    """TF-IDF pipeline: 1- and 2-grams, sublinear tf, smoothed idf, unit rows.
+
+    The vocabulary and its idf come from one aggregation, the same as in
+    ``features.tfidf``; features are in alphabetical order of the terms.
+    """
+    counted = train.select(
+        F.inline(term_counts(ngram_terms(F.col(text_col), stop_words=stop_words)))
+    )
+    n_docs = train.agg(F.count(F.lit(1)).alias("n_docs"))
+    # At most max_features rows, which the model holds anyway.
+    kept = sorted(tfidf_vocabulary(counted, n_docs, max_features).collect())
+    return PipelineModel(
+        [
             RegexTokenizer(
                 inputCol=text_col,
                 outputCol="_words",
@@ -96,19 +110,14 @@ def fit_tfidf(
             SQLTransformer(
                 statement="SELECT *, concat(_kept, _bigrams) AS _terms FROM __THIS__"
             ),
-            CountVectorizer(
-                inputCol="_terms", outputCol="_counts", vocabSize=max_features, minDF=1.0
+            CountVectorizerModel.from_vocabulary(
+                [row.term for row in kept], inputCol="_terms", outputCol="_counts"
             ),
-        ]
-    ).fit(train)
-    counted = to_counts.transform(train).select("_counts")
-    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted).idf.toArray() + 1.0
-    return PipelineModel(
-        [
-            *to_counts.stages,
             SublinearTf(inputCol="_counts", outputCol="_tf"),
             ElementwiseProduct(
-                inputCol="_tf", outputCol="_weighted", scalingVec=Vectors.dense(idf)
+                inputCol="_tf",
+                outputCol="_weighted",
+                scalingVec=Vectors.dense([row.idf for row in kept]),
             ),
             Normalizer(inputCol="_weighted", outputCol=output_col, p=2.0),
         ]
