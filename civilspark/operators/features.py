@@ -55,7 +55,7 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """``(term, df, idf)`` of the most frequent terms, ties alphabetical.
 
-    ``n_docs`` is a one-row table with the number of documents.
+    ``n_docs`` is a table of one row and column: the number of documents.
     """
     top = (
         rows.groupBy("term")
@@ -63,8 +63,8 @@ def tfidf_vocabulary(
         .orderBy(F.desc("_total"), F.asc("term"))
         .limit(max_features)
     )
-    idf = F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0
-    return top.crossJoin(F.broadcast(n_docs)).select("term", "df", idf.alias("idf"))
+    idf = F.log((1.0 + n_docs.scalar()) / (1.0 + F.col("df"))) + 1.0
+    return top.select("term", "df", idf.alias("idf"))
 
 
 def tfidf(

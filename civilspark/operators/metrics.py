@@ -148,15 +148,13 @@ def compare_models(summaries: Mapping[str, DataFrame], baseline: str) -> DataFra
             F.lit(name).alias("model"), "macro_f1", "weighted_f1", "accuracy"
         )
         rows = row if rows is None else rows.unionByName(row)
-    to_beat = rows.where(F.col("model") == baseline).select(
-        F.col("macro_f1").alias("score_to_beat")
-    )
-    return rows.crossJoin(F.broadcast(to_beat)).select(
+    to_beat = summaries[baseline].select("macro_f1").scalar()
+    return rows.select(
         "model",
         "macro_f1",
         "weighted_f1",
         "accuracy",
-        (F.col("macro_f1") - F.col("score_to_beat")).alias("macro_f1_delta"),
+        (F.col("macro_f1") - to_beat).alias("macro_f1_delta"),
     )
 
 
@@ -206,13 +204,14 @@ def metrics_document(
         ).alias(f"{kind} avg")
         for kind in ("macro", "weighted")
     ]
-    return summary.crossJoin(per_class).crossJoin(cells).select(
+    classes_part = per_class.select(F.struct("*")).scalar()
+    return summary.select(
         F.lit(model).alias("model"),
         *[F.round(x, 4).alias(x) for x in ("macro_f1", "weighted_f1", "accuracy")],
         F.array(*[F.lit(c) for c in classes]).alias("classes"),
-        grid.alias("confusion_matrix"),
+        cells.select(grid).scalar().alias("confusion_matrix"),
         F.struct(
-            *[F.col(f"_c{i}").alias(c) for i, c in enumerate(classes)],
+            *[classes_part[f"_c{i}"].alias(c) for i, c in enumerate(classes)],
             F.col("accuracy"),
             *averages,
         ).alias("classification_report"),

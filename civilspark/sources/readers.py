@@ -17,13 +17,20 @@ LABELLED_SCHEMA = (
 
 
 def read_labelled_csv(
-    spark: SparkSession, path: str, schema: str | None = LABELLED_SCHEMA
+    spark: SparkSession,
+    path: str,
+    schema: str | None = LABELLED_SCHEMA,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with header; quoted fields may hold line breaks and doubled quotes.
 
-    ``schema=None`` takes all columns as strings from the header.
+    ``schema=None`` takes all columns as strings from the header.  Line breaks in
+    fields keep Spark from splitting a file; where the data has none,
+    ``multi_line=False`` lets large files be read in parallel.
     """
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
+    reader = spark.read.options(
+        header=True, multiLine=multi_line, quote='"', escape='"'
+    )
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)

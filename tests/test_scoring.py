@@ -297,3 +297,11 @@ def test_network_scorer(spark, comments):
 def test_scoring_shuffles_nothing(comments):
     plan = scoring.predict(comments)._jdf.queryExecution().toString()
     assert "Exchange" not in plan[plan.index("== Physical Plan ==") :]
+
+
+def test_filter_on_verdict_scores_once(comments):
+    toxic = scoring.predict_batch(comments, keep=["id"]).where("is_toxic")
+    flags = toxic.select(F.explode("flagged_categories"))
+    for df in (toxic, flags):
+        plan = df._jdf.queryExecution().toString()
+        assert plan[plan.index("== Physical Plan ==") :].count("ArrowEvalPython") == 1
