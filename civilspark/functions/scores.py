@@ -39,8 +39,8 @@ def zero_scores(labels: Sequence[str]) -> Column:
 
 def score_of(scores: Column, label: str) -> Column:
     """Score of one label, 0 when the label is not scored."""
-    hit = F.filter(scores, lambda s: s["label"] == label)
-    return F.coalesce(F.try_element_at(hit, F.lit(1))["score"], F.lit(0.0))
+    by_label = F.map_from_entries(scores)
+    return F.coalesce(F.try_element_at(by_label, F.lit(label)), F.lit(0.0))
 
 
 def overall_score(scores: Column) -> Column:
