@@ -31,14 +31,16 @@ def local_session(
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
-    Without that setting a temporary folder is used in local mode; on a cluster
-    the setting is required, since executors must see the folder.
+    The setting is required where executors are processes of their own, since they must
+    see the folder.  ``local_session`` sets it; other sessions in which driver and
+    executors are one process get a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext._jsc.sc().isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="civilspark-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/civilspark/{purpose}-{uuid.uuid4().hex}"
 
 
