@@ -1,3 +1,145 @@
 """DuckDB SQL of the operators that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from civilspark.llm.secrets import BASE_RULES, RULES
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER.format('coalesce(text, {0})')}, '[^\x20\x09-\x0D]+')".replace(
+    "{0}", "''"
+)
+
+
+def _kind_spans(rank: int, rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return rf"""
+      SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, unnest(list_filter(
+        list_transform(range(1, len(found) + 1), lambda i: struct_pack(
+          a := list_sum(list_transform(pieces[1:i], lambda p: length(p)))
+             + coalesce(list_sum(list_transform(found[1:i - 1], lambda p: length(p))), 0),
+          n := length(found[i]),
+          v := length(vals[i]))),
+        lambda s: s.v >= {rule.least})) AS s
+      FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS pieces,
+                   regexp_extract_all(text, '{pattern}', 0) AS found,
+                   regexp_extract_all(text, '{pattern}', {rule.group}) AS vals
+            FROM d)
+      WHERE len(found) > 0"""
+
+
+_SPANS = "\n      UNION ALL".join(_kind_spans(k, r) for k, r in enumerate(RULES))
+_BASE = ", ".join(f"'{r.kind}'" for r in BASE_RULES)
+_SPAN = "kind || ':' || a || ':' || e"
+_COUNTS = ", ".join(
+    f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES
+)
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+spans AS (SELECT doc_id, kind, rank, s.a AS a, s.a + s.n AS e FROM ({_SPANS}))
+SELECT doc_id, {_COUNTS},
+       sha256(coalesce(string_agg({_SPAN}, ',' ORDER BY a, rank) FILTER (WHERE kind IN ({_BASE})), ''))
+         AS base_sha256,
+       coalesce(string_agg({_SPAN}, ',' ORDER BY a, rank) FILTER (WHERE kind IS NOT NULL), '')
+         AS spans
+FROM documents LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+"""
+
+OP2 = rf"""
+WITH w AS (
+  SELECT doc_id, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}, 1) AS pos FROM documents),
+vocab AS (
+  SELECT word, row_number() OVER (ORDER BY n DESC, encode(word)) + 1 AS id
+  FROM (SELECT word, count(*) AS n FROM w GROUP BY word)
+  QUALIFY row_number() OVER (ORDER BY n DESC, encode(word)) <= 2046),
+size AS (SELECT count(*) + 2 AS v FROM vocab),
+ids AS (
+  SELECT doc_id, pos, coalesce(id, 0) AS id FROM w LEFT JOIN vocab USING (word)
+  UNION ALL SELECT doc_id, max(pos) + 1, 1 FROM w GROUP BY doc_id),
+pairs AS (
+  SELECT doc_id, coalesce(lag(id) OVER (PARTITION BY doc_id ORDER BY pos), 1) AS h, id AS w
+  FROM ids),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+counts AS (
+  SELECT h, w, count(*) AS b, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM good)) AS t
+  FROM pairs GROUP BY h, w),
+singles AS (SELECT w, sum(b) AS b, sum(t) AS t FROM counts GROUP BY w),
+firsts AS (SELECT h, sum(b) AS b, sum(t) AS t FROM counts GROUP BY h),
+total AS (SELECT sum(b) AS b, sum(t) AS t FROM counts),
+losses AS (
+  SELECT c.h, c.w,
+    -ln((c.t + 100 * (s.t + 1) / (total.t + v)) / (f.t + 100)) AS lt,
+    -ln((c.b + 100 * (s.b + 1) / (total.b + v)) / (f.b + 100)) AS lb
+  FROM counts c JOIN singles s USING (w) JOIN firsts f USING (h), total, size),
+scored AS (
+  SELECT doc_id, count(*) AS n, avg(lt) AS t, avg(lb) AS b
+  FROM pairs JOIN losses USING (h, w) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, round(t, 6) AS target_loss,
+       round(b, 6) AS background_loss, round(t - b, 6) AS difference
+FROM documents LEFT JOIN scored USING (doc_id)
+"""
+
+OP3 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS s
+  FROM w WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM sizes
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, min(y) AS component FROM reach GROUP BY x) USING (doc_id)
+"""
+
+OP6 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+    AND list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM v
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT e.vec_id, coalesce(k, 0) AS n_links, coalesce(c, e.vec_id) AS component_id,
+       e.vec_id = coalesce(c, e.vec_id) AS kept
+FROM embeddings e
+LEFT JOIN (SELECT x AS vec_id, count(*) AS k FROM links GROUP BY x) USING (vec_id)
+LEFT JOIN (SELECT x AS vec_id, min(y) AS c FROM reach GROUP BY x) USING (vec_id)
+"""
+
+_KEY = _LOWER.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")
+
+OP7 = rf"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+lines AS (
+  SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS pos FROM parts),
+keyed AS (SELECT *, {_KEY} AS key FROM lines),
+common AS (
+  SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT doc_id, line, pos, holder IS NOT NULL AND doc_id <> holder AS gone
+  FROM keyed LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), ''))
+         AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+ORACLE = {
+    "op1_secrets": OP1,
+    "op2_lm_score": OP2,
+    "op3_jaccard": OP3,
+    "op6_embeddings": OP6,
+    "op7_lines": OP7,
+}
