@@ -14,8 +14,9 @@ that repeat an id are one document with several texts, repeated items are severa
 items.  An empty table on either side gives an empty result.  Only the named columns
 are used.
 
-All of it is DataFrame functions.  Words are hashed once per text; windows are exploded
-and probed inside generated code, and only hits carry the hashes on.
+All of it is DataFrame functions.  Windows leave their text in chunks of bounded size
+and as narrow rows; texts move only for documents with hits, after a first look at
+their hashed ids.
 """
 
 from __future__ import annotations
@@ -23,30 +24,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civilspark.session import materialise
+
 # Positions each mask looks at, in a window of up to SPAN words.
 MASKS = ((0, 1, 3, 4, 6, 9), (0, 2, 3, 5, 8, 9), (0, 1, 2, 5, 7, 8))
 SPAN = 10
 STRETCH = 20
 SHARE = 80
-MAX_SEED_BYTES = 64 << 20  # of benchmark seeds that are broadcast; more are joined by shuffles
+CHUNK = 4096  # windows that are taken apart at once
+SLOTS = 1 << 20  # of the hashed ids that texts are looked up in before they are moved
+MAX_BROADCAST_SEEDS = 500_000  # narrow rows; more of them are joined by shuffles
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _keys(hashes: Column, at: Column, length: int, span: int) -> Column:
-    """Array of ``(mask, key)`` of the window at a position, for texts of any length."""
-    out = []
-    for number, mask in enumerate(MASKS):
-        looked = [F.get(hashes, at + p) for p in mask if p < min(length, span)]
-        out.append(
-            F.struct(
-                F.xxhash64(F.lit(number), F.lit(length), *looked).alias("key"),
-                F.lit(number).alias("mask"),
-            )
-        )
-    return F.array(*out)
+def _keys(word, length: int) -> Column:
+    """Array of the masks' hashes of a window; ``word(p)`` is the hash at position p."""
+    return F.array(
+        *[
+            F.xxhash64(F.lit(number), F.lit(length), *[word(p) for p in mask if p < length])
+            for number, mask in enumerate(MASKS)
+        ]
+    )
+
+
+def _windows(table: DataFrame, key: str, length: int) -> DataFrame:
+    """``(key, n_words, at, seed)`` of every window of ``length`` words and every mask."""
+    starts = F.when(
+        F.size("h") >= length,
+        F.sequence(F.lit(0), F.size("h") - length, F.lit(CHUNK)),
+    )
+    chunks = table.select(key, "h", F.explode(starts).alias("begin")).select(
+        key,
+        F.size("h").alias("n_words"),
+        "begin",
+        F.slice("h", F.col("begin") + 1, CHUNK + length - 1).alias("c"),
+    )
+    many = F.size("c") - length + 1
+    columns = [F.slice("c", F.lit(p + 1), many).alias(f"w{p}") for p in range(length)]
+    rows = chunks.select(key, "n_words", "begin", F.posexplode(F.arrays_zip(*columns)))
+    seeds = _keys(lambda p: F.col("col")[f"w{p}"], length)
+    return rows.select(
+        key, "n_words", (F.col("begin") + F.col("pos")).alias("at"), F.explode(seeds).alias("seed")
+    )
 
 
 def _hashed(table: DataFrame, key: str, text: str, name: str) -> DataFrame:
@@ -54,16 +76,6 @@ def _hashed(table: DataFrame, key: str, text: str, name: str) -> DataFrame:
     return rows.select(name, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
 
 
-def _small(seeds: DataFrame) -> bool:
-    size = seeds.agg(F.sum(F.size("item") * 8 + 64)).first()[0]
-    return (size or 0) <= MAX_SEED_BYTES
-
-
-def _with(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    table = table.withColumnRenamed(key, "_key")
-    return rows.join(table, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-
-
 def overlaps(
     docs: DataFrame,
     items: DataFrame,
@@ -90,31 +102,19 @@ def overlaps(
     hits = None
     for length in sorted(lengths):
         same = known.where(F.least(F.size("item"), F.lit(SPAN)) == length)
-        seeds = same.select(
-            "item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - length)).alias("j")
-        )
-        seeds = seeds.select("item_id", "item", "j", F.inline(_keys(F.col("item"), F.col("j"), length, SPAN)))
-        seeds = seeds.withColumnRenamed("key", "seed")
-        starts = F.when(
-            F.size("h") >= length, F.sequence(F.lit(0), F.size("h") - length)
-        )
-        windows = texts.select("doc_id", "h", F.explode(starts).alias("i"))
-        windows = windows.select(
-            "doc_id", "h", "i", F.explode(_keys(F.col("h"), F.col("i"), length, SPAN)["key"]).alias("key")
-        )
-        start = (F.col("i") - F.col("j")).alias("doc_start")
-        if _small(seeds):
-            found = windows.join(F.broadcast(seeds), F.col("key") == F.col("seed"))
-            found = found.select("doc_id", "item_id", "h", "item", start)
-        else:  # narrow rows meet; the words come back to the distinct hits
-            found = (
-                windows.select("doc_id", "i", "key")
-                .join(seeds.drop("item"), F.col("key") == F.col("seed"))
-                .select("doc_id", "item_id", start)
-                .distinct()
+        seeds = _windows(same.withColumnRenamed("item", "h"), "item_id", length)
+        seeds = seeds.withColumnRenamed("at", "item_at").withColumnRenamed("seed", "item_seed")
+        if seeds.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS:
+            seeds = F.broadcast(seeds)
+        found = (
+            _windows(texts, "doc_id", length)
+            .drop("n_words")
+            .join(seeds, F.col("seed") == F.col("item_seed"))
+            .select(
+                "doc_id", "item_id", "n_words", (F.col("at") - F.col("item_at")).alias("doc_start")
             )
-            found = _with(_with(found, texts, "doc_id"), same, "item_id")
-            found = found.select("doc_id", "item_id", "h", "item", "doc_start")
+            .distinct()
+        )
         hits = found if hits is None else hits.union(found)
     if hits is None:
         return docs.select(F.col(doc_id).alias("doc_id")).where(F.lit(False)).select(
@@ -122,11 +122,38 @@ def overlaps(
             F.lit(None).cast(items.schema[item_id].dataType).alias("item_id"),
             *[F.lit(None).cast("int").alias(c) for c in ("doc_start", "n_words", "n_equal", "best", "length")],
         )
+    hits = materialise(hits, "hits")
+    by_doc = hits.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.collect_set(F.struct("item_id", "n_words", "doc_start")).alias("hits")
+    )
+    slot = lambda column: F.pmod(F.xxhash64(column), F.lit(SLOTS))
+    slots = hits.select(slot("doc_id").alias("_slot")).distinct()  # SLOTS rows at most
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.join(F.broadcast(slots), slot("doc_id") == F.col("_slot"), "left_semi")
+    rows = rows.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = rows.select("doc_id", "hits", words(F.col("text")).alias("w")).select(
+        "doc_id", "hits", F.transform("w", lambda w: F.xxhash64(w)).alias("h")
+    )
+
+    def beside(hit: Column) -> Column:
+        """The part of the document that lies beside the item."""
+        first = F.greatest(hit["doc_start"], F.lit(0))
+        missing = first - hit["doc_start"]
+        return F.struct(
+            hit["item_id"].alias("item_id"),
+            hit["doc_start"].alias("doc_start"),
+            missing.alias("missing"),
+            F.slice("h", first + 1, F.greatest(hit["n_words"] - missing, F.lit(0))).alias("part"),
+        )
+
+    laid = rows.select("doc_id", F.inline(F.transform("hits", beside)))
+    items_there = known.withColumnRenamed("item_id", "_item_id")
+    laid = laid.join(items_there, F.col("item_id").eqNullSafe(F.col("_item_id")))
     agree = F.transform(
         "item",
-        lambda word, k: F.when(F.get(F.col("h"), F.col("doc_start") + k) == word, 1).otherwise(0),
+        lambda word, k: F.when(F.get(F.col("part"), k - F.col("missing")) == word, 1).otherwise(0),
     )
-    laid = hits.select(
+    laid = laid.select(
         "doc_id", "item_id", "doc_start", F.size("item").alias("n_words"), agree.alias("agree")
     )
     total = lambda flags: F.aggregate(flags, F.lit(0), lambda a, b: a + b)
