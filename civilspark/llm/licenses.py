@@ -32,6 +32,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civilspark.session import materialise
+
 UNKNOWN = "unknown"
 SIMILARITY = 0.6
 PROBABILITY = 0.5
@@ -191,17 +193,18 @@ def train(
 ) -> Classifier:
     """Fit weights, biases and the temperature."""
     gate = _gate()
-    # A bounded sample: ordinary lines of the documents that come first by text hash.
+    # A bounded sample: ordinary lines of the documents with the smallest text hashes.
+    parts = 1_000_000
+    share = -(-2 * lines * parts // max(1, docs.count()))
     heads = (
-        docs.select(F.substring(text, 1, 2000).alias("text"))  # a sample needs no more
+        docs.where(F.pmod(F.xxhash64(text), F.lit(parts)) < share)
+        .select(F.substring(text, 1, 400).alias("text"))  # a sample needs no more
         .where("text is not null")
-        .select("text", F.xxhash64("text").alias("h"))
-        .orderBy("h")
-        .limit(lines)
+        .limit(4 * lines)
     )
     ordinary = [
         line
-        for row in heads.collect()
+        for row in sorted(heads.collect())
         for line in row.text.split("\n")[:2]
         if line.strip() and not re.search(gate, line)
     ][:lines]
@@ -279,6 +282,7 @@ def scan(
         .withColumn("grams", _grams(_words(F.col("line"))))
         .withColumn("row", F.xxhash64("line"))
     )
+    lines = materialise(lines, "gated-lines")
     weights = spark.createDataFrame(list(model.weights), "gram string, w array<double>")
     k = len(model.families)
     sums = [F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)]
