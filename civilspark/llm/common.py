@@ -99,9 +99,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         state, before = _checksum(now), state
         if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                now.select("b", "b").distinct()
-            )
+            leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = now.select("b").distinct()
+            return leaves.union(roots.select("b", "b"))
         both = now.union(now.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = (

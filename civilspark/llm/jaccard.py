@@ -12,9 +12,12 @@ What keeps large groups of copies from becoming all pairs:
 
 * equal sets are one node, their documents are members of it;
 * each token's documents are first compared with one of them only; pairs that share
-  many tokens are verified and joined to components;
+  many tokens are verified and joined to components; this is repeated with other
+  pivots for tokens that several components still share;
 * after that, only tokens that several components share are joined, component against
-  component, and only pairs of components that pass are taken apart into documents.
+  component, and only pairs of components that pass are taken apart into documents;
+  the shorter document of a pair enters that join with a shorter prefix, since its
+  overlap must be larger in proportion, so copies that differ too much seldom meet.
 
 No link between components is lost, since no two documents of different components
 skip the comparison.  The global order comes from a sketch of shingle frequencies of a
@@ -42,6 +45,8 @@ SKETCH_CHUNKS = 16
 SKETCH_FANIN = 64
 LONGEST = 4  # largest number of prefix tokens asked for
 VERIFY_SHARE = 1 / 16  # cost of verifying one shingle, in postings
+STAR_ROUNDS = 2
+SLOTS = 1 << 20  # of the hashed ids that texts are looked up in before they are moved
 
 
 def _profile(docs: DataFrame, width: int) -> DataFrame:
@@ -126,6 +131,11 @@ def _need(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
+def _need_as_shorter(n: Column, percent: int) -> Column:
+    """Least overlap of a set of n tokens with a similar one that is not smaller."""
+    return F.ceil(2 * n * percent / F.lit(100 + percent))
+
+
 def _overlap(n: Column, m: Column, percent: int) -> Column:
     """Least overlap of two sets of n and m tokens with the similarity."""
     return F.ceil((n + m) * percent / F.lit(100 + percent))
@@ -160,7 +170,7 @@ def _adapted(postings: DataFrame, percent: int) -> DataFrame:
     )
     same = (F.col("doc") == F.col("_doc")) & (F.col("n") == F.col("_n"))
     return postings.join(chosen, same).where(F.col("pos") < base + F.col("ell")).select(
-        "token", "doc", "n", "ell"
+        "token", "doc", "n", "ell", "pos"
     )
 
 
@@ -182,9 +192,11 @@ def _promising(x: str, y: str, shared: Column, percent: int) -> Column:
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs ``(x, y)`` whose whole sets have the similarity."""
-    pairs = materialise(pairs.select("x", "y").distinct(), "pairs")
     wanted = pairs.select(F.col("x").alias("_doc")).union(pairs.select("y")).distinct()
-    texts = docs.join(
+    # Hashed ids, SLOTS rows at most, keep most other texts from being moved.
+    slot = lambda column: F.pmod(F.xxhash64(column), F.lit(SLOTS))
+    slots = wanted.select(slot("_doc").alias("_slot")).distinct()
+    texts = docs.join(F.broadcast(slots), slot("doc_id") == F.col("_slot"), "left_semi").join(
         wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left_semi"
     )
 
@@ -212,13 +224,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     )
 
 
-def _star_pairs(postings: DataFrame, percent: int, last: bool) -> DataFrame:
+def _star_pairs(active: DataFrame, percent: int, seed: int) -> DataFrame:
     """Each token's documents against one of them, where much of a prefix is shared."""
-    one = F.struct("doc", "n", "ell")
-    pivots = postings.groupBy("token").agg((F.max(one) if last else F.min(one)).alias("p"))
+    drawn = F.xxhash64("doc", F.lit(seed)) if seed else F.lit(0).cast("bigint")
+    one = F.struct(drawn.alias("drawn"), "doc", "n", "ell", "comp")
+    pivots = active.groupBy("token").agg(F.min(one).alias("p"))
     pairs = (
-        postings.join(pivots, "token")
-        .where("doc <> p.doc")
+        active.join(pivots, "token")
+        .where("comp <> p.comp")
         .select(
             F.col("p.doc").alias("x"),
             F.col("doc").alias("y"),
@@ -231,58 +244,59 @@ def _star_pairs(postings: DataFrame, percent: int, last: bool) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("shared"))
     )
     # Tokens with another pivot are not counted here: half of what is needed will do.
-    return pairs.where(_promising("x", "y", F.col("shared") * 2, percent))
+    pairs = pairs.where(_promising("x", "y", F.col("shared") * 2, percent))
+    return pairs.select("x", "y").distinct()
 
 
-def _cross_pairs(postings: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Promising pairs of documents in different components."""
+def _contested(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings with components, of the tokens that several components share."""
     placed = postings.join(
         found.select(F.col("node").alias("doc"), "component"), "doc", "left"
     ).withColumn("comp", F.coalesce("component", "doc"))
-    placed = materialise(placed.drop("component"), "placed")
-    by_token = placed.groupBy("token", "comp").agg(
-        F.min("n").alias("n"),
-        F.max("n").alias("most"),
-        F.min("ell").alias("ell"),
+    spread = placed.groupBy("token").agg(
+        F.min("comp").alias("least"), F.max("comp").alias("most")
     )
-    by_token = materialise(by_token, "by-token")
-    several = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    by_token = materialise(by_token.join(several.select("token"), "token"), "by-token")
+    spread = spread.where("least < most").select("token")
+    return materialise(placed.drop("component").join(spread, "token"), "contested")
 
-    def side(name: str) -> DataFrame:
-        return by_token.select(
-            "token", *[F.col(c).alias(f"{c}_{name}") for c in ("comp", "n", "most", "ell")]
-        )
 
-    nx, ny, mx, my = (F.col(c) for c in ("n_x", "n_y", "most_x", "most_y"))
+def _cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Promising pairs of documents in different components."""
+    sides = {}
+    shorter = F.col("pos") < F.col("n") - _need_as_shorter(F.col("n"), percent) + F.col("ell")
+    for name, rows in (("x", placed.where(shorter)), ("y", placed)):
+        sides[name] = rows.groupBy("token", F.col("comp").alias(f"comp_{name}")).agg(
+            F.min("n").alias(f"least_{name}"),
+            F.max("n").alias(f"most_{name}"),
+            F.min("ell").alias(f"ell_{name}"),
+        )
+    lx, ly, mx, my = (F.col(c) for c in ("least_x", "least_y", "most_x", "most_y"))
+    in_order = (lx < my) | ((lx == my) & (F.col("comp_x") < F.col("comp_y")))
     behind = F.greatest(
-        _need(mx, percent) - F.col("ell_x"), _need(my, percent) - F.col("ell_y")
+        _need_as_shorter(mx, percent) - F.col("ell_x"), _need(my, percent) - F.col("ell_y")
     )
     pairs = (
-        side("x")
-        .join(side("y"), "token")
-        .where((F.col("comp_x") < F.col("comp_y")) & (mx * 100 >= ny * percent) & (my * 100 >= nx * percent))
+        sides["x"]
+        .join(sides["y"], "token")
+        .where((F.col("comp_x") != F.col("comp_y")) & in_order)
+        .where((mx * 100 >= ly * percent) & (my * 100 >= lx * percent))
         .groupBy("comp_x", "comp_y")
         .agg(
             F.count(F.lit(1)).alias("shared"),
-            F.min("n_x").alias("n_x"),
-            F.min("n_y").alias("n_y"),
-            F.max("most_x").alias("most_x"),
-            F.max("most_y").alias("most_y"),
-            F.min("ell_x").alias("ell_x"),
-            F.min("ell_y").alias("ell_y"),
+            *[F.min(c).alias(c) for c in ("least_x", "least_y", "ell_x", "ell_y")],
+            *[F.max(c).alias(c) for c in ("most_x", "most_y")],
         )
         .where(
             (F.col("shared") >= F.least("ell_x", "ell_y"))
-            & (F.col("shared") + behind >= _overlap(nx, ny, percent))
+            & (F.col("shared") + behind >= _overlap(lx, ly, percent))
         )
-        .select("comp_x", "comp_y")
+        .select(F.least("comp_x", "comp_y").alias("comp_x"), F.greatest("comp_x", "comp_y").alias("comp_y"))
+        .distinct()
     )
     pairs = materialise(pairs, "component-pairs")
-    tokens = placed.join(several.select("token"), "token")
 
     def members(name: str) -> DataFrame:
-        return tokens.select(
+        return placed.select(
             F.col("token").alias(f"token_{name}"),
             F.col("comp").alias(f"comp_{name}"),
             F.col("doc").alias(name),
@@ -300,7 +314,8 @@ def _cross_pairs(postings: DataFrame, found: DataFrame, percent: int) -> DataFra
         .groupBy("x", "y", "n_x", "n_y", "ell_x", "ell_y")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    return counted.where(_promising("x", "y", F.col("shared"), percent))
+    counted = counted.where(_promising("x", "y", F.col("shared"), percent))
+    return counted.select("x", "y").distinct()
 
 
 def near_components(
@@ -336,15 +351,30 @@ def near_components(
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     postings = materialise(tokens.join(shared, "token"), "postings")
     postings = materialise(_adapted(postings, percent), "adapted")
-    edges = None
-    for last in (False, True):
-        more = _verified(_star_pairs(postings, percent, last), docs, width, percent)
-        edges = more if edges is None else edges.union(more)
-    edges = materialise(edges.select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
-    cross = _cross_pairs(postings, components(edges), percent)
-    cross = _verified(cross, docs, width, percent)
-    edges = edges.union(cross.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    found = components(edges)
+    # An id with several texts links what its texts link.
+    of_id = F.xxhash64("sig")
+    several = with_words.groupBy("doc_id").agg(F.min(of_id).alias("low"), F.max(of_id).alias("high"))
+    several = with_words.join(several.where("low <> high"), "doc_id", "left_semi")
+    several = several.join(nodes, "sig").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    active = postings.withColumn("comp", F.col("doc"))
+    links, found = several, None
+
+    def joined(pairs: DataFrame) -> bool:
+        """Verify pairs and extend the components; whether there were any pairs."""
+        nonlocal found
+        pairs = materialise(pairs, "pairs")
+        if found is not None and pairs.isEmpty():
+            return False
+        more = _verified(pairs, docs, width, percent).toDF("a", "b")
+        # components stand for the links they came from
+        found = components((links if found is None else found.toDF("a", "b")).union(more))
+        return True
+
+    for seed in range(STAR_ROUNDS):
+        if not joined(_star_pairs(active, percent, seed)):
+            break
+        active = _contested(postings, found)
+    joined(_cross_pairs(active, percent))
     placed = nodes.join(found, F.col("rep") == F.col("node"), "left").select(
         "sig", F.coalesce("component", "rep").alias("found")
     )
