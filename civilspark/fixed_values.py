@@ -128,8 +128,8 @@ TRIGGER_IMPORTANCE = 0.15
 TRIGGER_IMPORTANCE_CONFIDENT = 0.08
 CONFIDENT_BASELINE = 0.70
 
-STATUS_TOXIC = "\N{POLICE CARS REVOLVING LIGHT} Toxic"
-STATUS_CLEAN = "\N{WHITE HEAVY CHECK MARK} Clean"
+STATUS_TOXIC = "🚨 Toxic"
+STATUS_CLEAN = "✅ Clean"
 
 # Flat report: label -> column heading.
 REPORT_COLUMNS = {
@@ -141,45 +141,6 @@ REPORT_COLUMNS = {
     "identity_hate": "Identity Hate",
 }
 
-# Demonstration comments: (category, comment, expected flag).
-SAMPLE_COMMENTS = (
-    (
-        "Clean / Positive",
-        "Thank you so much for this helpful explanation! You did a fantastic job on this project.",
-        "Clean",
-    ),
-    (
-        "Clean / Disagreement (Non-Toxic)",
-        "I respectfully disagree with your conclusion here. In my experience, the data points in a different direction.",
-        "Clean",
-    ),
-    (
-        "Insult",
-        "You are completely pathetic and braindead. Nobody asked for your stupid opinion.",
-        "Insult",
-    ),
-    (
-        "Threat / Violent Cyberbullying",
-        "I will find where you live and beat you to a pulp, watch your back.",
-        "Threat",
-    ),
-    (
-        "Identity Attack / Hate Speech",
-        "All people from your background are disgusting parasites and should be wiped out.",
-        "Identity Hate",
-    ),
-    (
-        "Obscene / Profanity",
-        "Shut the fuck up you miserable piece of shit, get the hell out of here.",
-        "Obscene / Severe",
-    ),
-    (
-        "Obfuscated / Leetspeak Cyberbullying",
-        "Ur a useless b!tch, go kill urself u f*cking l0ser.",
-        "Severe Toxic / Threat",
-    ),
-)
-
 # ---- default lexicon for the linear scorer ---------------------------------
 # Own values. All are multiples of 1/4, so sums are exact in any order.
 

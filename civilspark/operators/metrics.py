@@ -32,7 +32,11 @@ def class_list(df: DataFrame, *columns: str) -> list[str]:
 def confusion_matrix(
     df: DataFrame, classes: Sequence[str], actual: str = "actual", pred: str = "pred"
 ) -> DataFrame:
-    """``(actual, pred, n)`` with all k*k cells, zeros included."""
+    """``(actual, pred, n)``: all k*k cells, zeros included, and no row left out.
+
+    Classes outside the list and missing ones follow in cells of their own, only
+    where rows have them, so that totals and accuracy cover every row.
+    """
     spark = df.sparkSession
     cells = df.groupBy(
         F.col(actual).cast("string").alias("actual"),
@@ -41,9 +45,9 @@ def confusion_matrix(
     grid = spark.createDataFrame(
         [(a, p) for a in classes for p in classes], "actual string, pred string"
     )
-    return grid.join(cells, ["actual", "pred"], "left").select(
-        "actual", "pred", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    # One aggregation of zeros and counts; a null class groups like any other.
+    zeros = grid.withColumn("n", F.lit(0).cast("long"))
+    return zeros.unionByName(cells).groupBy("actual", "pred").agg(F.sum("n").alias("n"))
 
 
 def confusion_wide(matrix: DataFrame, classes: Sequence[str]) -> DataFrame:
@@ -74,7 +78,11 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 
 def class_report(matrix: DataFrame) -> DataFrame:
-    """``(label, precision, recall, f1, support)``; 0/0 counts as 0."""
+    """``(label, precision, recall, f1, support)``; 0/0 counts as 0.
+
+    A class outside the list has a row of its own; a missing class counts for the
+    class on the other side only.
+    """
     n = F.col("n")
     # Every cell counts for its row (actual) and its column (predicted).
     sides = matrix.select(
@@ -97,7 +105,7 @@ def class_report(matrix: DataFrame) -> DataFrame:
             )
         )
     )
-    summed = sides.groupBy("label").agg(
+    summed = sides.where("label is not null").groupBy("label").agg(
         F.sum("tp").alias("tp"),
         F.sum("support").alias("support"),
         F.sum("predicted").alias("predicted"),
@@ -114,23 +122,32 @@ def class_report(matrix: DataFrame) -> DataFrame:
 def summary_metrics(matrix: DataFrame) -> DataFrame:
     """One row: accuracy, macro and weighted averages, support.
 
-    The sum of recall times support is the number of right answers, so accuracy
-    needs no second pass.
+    Accuracy and support cover all rows of the matrix; rows without a class count
+    as wrong.
     """
     report = class_report(matrix)
+    n = F.col("n")
+    rows = matrix.agg(
+        F.sum("n").alias("_rows"),
+        F.sum(F.when(F.col("actual") == F.col("pred"), n).otherwise(0)).alias("_right"),
+    )
 
     def weighted(name: str) -> Column:
         return _ratio(F.sum(F.col(name) * F.col("support")), F.sum("support"))
 
-    return report.agg(
-        weighted("recall").alias("accuracy"),
+    averages = report.agg(
         F.avg("precision").alias("macro_precision"),
         F.avg("recall").alias("macro_recall"),
         F.avg("f1").alias("macro_f1"),
         weighted("precision").alias("weighted_precision"),
         weighted("recall").alias("weighted_recall"),
         weighted("f1").alias("weighted_f1"),
-        F.sum("support").alias("support"),
+    )
+    # One row on either side.
+    return averages.join(F.broadcast(rows)).select(
+        _ratio(F.col("_right"), F.col("_rows")).alias("accuracy"),
+        *averages.columns,
+        F.coalesce("_rows", F.lit(0)).alias("support"),
     )
 
 

@@ -61,9 +61,12 @@ def drop_duplicate_texts(df: DataFrame, text_col: str, id_col: str) -> DataFrame
     """Keep the first row (by unique id) of every distinct text.
 
     The rows meet the surviving ids on the id, which is unique, so a text with
-    many copies makes no hot join key.
+    many copies makes no hot join key.  Rows without an id have no order among
+    copies; all of them stay.
     """
-    return df.join(first_ids(df, text_col, id_col), id_col, "left_semi")
+    return df.where(F.col(id_col).isNotNull()).join(
+        first_ids(df, text_col, id_col), id_col, "left_semi"
+    ).unionByName(df.where(F.col(id_col).isNull()))
 
 
 def duplicate_counts(df: DataFrame, text_col: str) -> DataFrame:

@@ -28,24 +28,20 @@ from civilspark.operators.sizes import broadcast_if_small
 
 Scorer = Callable[[Column], Column]
 
-# Above this many terms use ``linear_scores``: the alternation in the pattern
-# and the literal map are both searched term by term.
-MAX_LEXICON_TERMS = 256
-
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Term weights small enough to live inside the expression."""
+    """Term weights that live inside the expression.
+
+    Any number of terms is right; every text is searched term by term, so a weight
+    table of thousands of terms is faster through ``linear_scores``.
+    """
 
     weights: Mapping[str, Sequence[float]]
     bias: Mapping[str, float]
     labels: Sequence[str] = field(default=fixed.LABELS)
 
     def __post_init__(self):
-        if len(self.weights) > MAX_LEXICON_TERMS:
-            raise ValueError(
-                f"{len(self.weights)} terms; use linear_scores beyond {MAX_LEXICON_TERMS}"
-            )
         for term, row in self.weights.items():
             if term != term.lower() or not re.fullmatch(r"\w+", term):
                 raise ValueError(f"not a lower-case word: {term!r}")
@@ -76,10 +72,11 @@ class Lexicon:
         def find(t: Column) -> Column:
             # Most texts hold no term at all, which a substring search tells
             # sooner than the pattern.
-            present = F.lit(False)
-            for term in self.weights:
-                present = present | t.contains(term)
-            return F.when(present, F.regexp_extract_all(t, F.lit(pattern), 0)).otherwise(
+            tests = [t.contains(term) for term in self.weights]
+            while len(tests) > 1:  # by pairs, so the tree of many terms stays flat
+                odd = tests[len(tests) - len(tests) % 2 :]
+                tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + odd
+            return F.when(tests[0], F.regexp_extract_all(t, F.lit(pattern), 0)).otherwise(
                 F.array().cast("array<string>")
             )
 

@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a few dozen bytes: well under the memory of any executor.
 MAX_BROADCAST_ROWS = 100_000
+# Of the rows written as text; well under the memory of any executor.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def broadcast_if_small(
-    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, as_literals: bool = True
+    df: DataFrame,
+    max_rows: int = MAX_BROADCAST_ROWS,
+    as_literals: bool = True,
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Broadcast ``df`` when it provably has at most ``max_rows`` rows.
+    """Broadcast ``df`` when it provably has at most ``max_rows`` rows and ``max_bytes``.
 
     The check reads at most ``max_rows + 1`` rows.  A small table comes back as
     literal rows, so joining it neither shuffles the big side nor computes the
     table again; a larger one comes back unchanged and is joined the way Spark
     chooses.  Meant for class-level and vocabulary-level tables with narrow rows;
-    with ``as_literals=False`` rows are only counted and stay in the JVM, which
+    with ``as_literals=False`` rows are only measured and stay in the JVM, which
     suits wide rows of a table that is cheap to read.
     """
     head = df.limit(max_rows + 1)
     if not as_literals:
-        return F.broadcast(df) if head.count() <= max_rows else df
+        width = F.octet_length(F.to_json(F.struct("*")))
+        size = head.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("width")).first()
+        return F.broadcast(df) if size.n <= max_rows and (size.width or 0) <= max_bytes else df
     rows = head.collect()
-    if len(rows) > max_rows:
+    if len(rows) > max_rows or sum(len(str(tuple(r))) for r in rows) > max_bytes:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

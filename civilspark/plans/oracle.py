@@ -355,7 +355,7 @@ SELECT conv_id, turn, array_to_string(ids, ' ') AS token_ids FROM encoded""",
 places AS (SELECT conv_id, turn, unnest(ids) AS idx, generate_subscripts(ids, 1) AS pos FROM encoded)
 SELECT conv_id, turn, string_agg(token, ' ' ORDER BY pos) AS tokens
 FROM places JOIN vocab USING (idx) GROUP BY conv_id, turn""",
-    "masked_mean_pool": f"""WITH {encoded_ctes("(SELECT count(*) FROM embeddings)")},
+    "masked_mean_pool": f"""WITH {encoded_ctes(str(VOCAB_QUERY_SIZE))},
 places AS (SELECT conv_id, turn, unnest(ids) AS idx FROM encoded),
 real_places AS (SELECT * FROM places WHERE idx <> 0),
 lengths AS (SELECT conv_id, turn, count(*) AS n FROM real_places GROUP BY conv_id, turn),

@@ -22,7 +22,7 @@ from civilspark.operators import (
     vocabulary,
 )
 from civilspark.plans import jobs
-from civilspark.session import read_table, shared_folder, spread
+from civilspark.session import read_table, shared_folder
 from civilspark.sources import readers
 from civilspark.streaming import comments as streaming
 
@@ -31,15 +31,15 @@ POOL_VECTOR_SIZE = 64
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "documents"), "doc_id")
+    return read_table(spark, folder, "documents")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "pages"), "page_id")
+    return read_table(spark, folder, "pages")
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "conversations"), "conv_id", "turn")
+    return read_table(spark, folder, "conversations")
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,10 +196,9 @@ def decode_tokens(spark, folder):
 
 def masked_mean_pool(spark, folder):
     vectors = read_table(spark, folder, "embeddings")
-    # Token ids stand for vector ids, so the vocabulary is as large as the table.
-    size = vectors.count()
+    # Token ids stand for vector ids; a token without a vector counts as zeros.
     pooled = vocabulary.masked_mean_pool(
-        _encoded(spark, folder, vocab_topk(spark, folder, size)),
+        _encoded(spark, folder, vocab_topk(spark, folder)),
         ["conv_id", "turn"],
         vectors,
         POOL_VECTOR_SIZE,

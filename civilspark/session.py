@@ -48,18 +48,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on inputs with fewer scan tasks than cores.
-
-    Only a small input is planned with so few tasks, so the exchange is small
-    too.  Large inputs come back unchanged and are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several later passes read, and read it back.
 

@@ -1,4 +1,4 @@
-"""Readers: labelled CSV, uploaded comments, pasted lines, sample comments."""
+"""Readers: labelled CSV, uploaded comments, pasted lines."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from civilspark import fixed_values as fixed
 from civilspark.functions.regex import NOT_SPACE
@@ -21,19 +22,27 @@ def read_labelled_csv(
     path: str,
     schema: str | None = LABELLED_SCHEMA,
     multi_line: bool = True,
+    mode: str = "PERMISSIVE",
 ) -> DataFrame:
     """CSV with header; quoted fields may hold line breaks and doubled quotes.
 
-    ``schema=None`` takes all columns as strings from the header.  Line breaks in
-    fields keep Spark from splitting a file; where the data has none,
-    ``multi_line=False`` lets large files be read in parallel.
+    All columns are read as strings; those of ``schema`` are then chosen by name and
+    cast, so their order in the file does not matter and a missing one raises.
+    ``schema=None`` returns every column.  Files with headers in different orders are
+    read by one call each.  Line breaks in fields keep Spark from splitting a file, so
+    each file is one task, whatever its size; where the data has none,
+    ``multi_line=False`` lets large files be read in parallel.  ``mode`` says what
+    happens to malformed rows: nulls (PERMISSIVE), or an error (FAILFAST).
     """
-    reader = spark.read.options(
-        header=True, multiLine=multi_line, quote='"', escape='"'
+    rows = spark.read.options(
+        header=True, multiLine=multi_line, quote='"', escape='"', mode=mode
+    ).csv(path)
+    if schema is None:
+        return rows
+    wanted = StructType.fromDDL(schema)
+    return rows.select(
+        *[F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in wanted]
     )
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
 
 
 def resolve_labelled_columns(
@@ -83,11 +92,3 @@ def lines_to_rows(df: DataFrame, text_col: str, keep: Sequence[str] = ()) -> Dat
     return lines.where(F.col("_line").rlike(NOT_SPACE)).select(
         *keep, "line_no", strip(F.col("_line")).alias("comment")
     )
-
-
-def sample_comments(spark: SparkSession) -> DataFrame:
-    """The demonstration comments as a table."""
-    return spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(fixed.SAMPLE_COMMENTS)],
-        "sample_id int, category string, comment string, expected_flag string",
-    )

@@ -88,6 +88,20 @@ def test_missing_classes_count_as_zero(spark):
     assert report["c"] == (0.0, 0.0, 0.0, 0)
 
 
+def test_no_row_is_left_out(spark):
+    df = spark.createDataFrame(
+        [("a", "a"), ("b", "b"), ("a", "new"), (None, "b"), ("a", None)],
+        "actual string, pred string",
+    )
+    matrix = metrics.confusion_matrix(df, ["a", "b"])
+    cells = {(r.actual, r.pred): r.n for r in matrix.collect()}
+    assert sum(cells.values()) == 5 and cells["a", "new"] == 1 and cells[None, "b"] == 1
+    summary = metrics.summary_metrics(matrix).first()
+    assert summary.accuracy == 0.4 and summary.support == 5
+    report = {r.label: r for r in metrics.class_report(matrix).collect()}
+    assert set(report) == {"a", "b", "new"} and report["b"].precision == 0.5
+
+
 def test_compare_models(spark):
     summaries = {
         name: metrics.summary_metrics(

@@ -35,6 +35,14 @@ def test_profile(texts):
     }
 
 
+def test_dedupe_keeps_rows_without_id(spark):
+    df = spark.createDataFrame(
+        [(None, "a"), (None, "a"), (2, "a"), (1, "a")], "id long, text string"
+    )
+    kept = prepare.drop_duplicate_texts(df, "text", "id")
+    assert sorted(r.id or 0 for r in kept.collect()) == [0, 0, 1]
+
+
 def test_dedupe_keeps_first_and_treats_nulls_alike(texts):
     kept = prepare.drop_duplicate_texts(texts, "text", "id")
     assert sorted(r.id for r in kept.collect()) == [0, 1, 3, 5, 6]

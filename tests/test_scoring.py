@@ -8,7 +8,6 @@ from civilspark.functions import scores as S
 from civilspark.functions.tokens import word_tokens
 from civilspark.operators import scoring
 from civilspark.plans.jobs import explain_comments, moderate
-from civilspark.sources.readers import sample_comments
 
 LABELS = fixed.LABELS
 
@@ -116,8 +115,13 @@ def test_lexicon_is_checked():
         scoring.Lexicon({"two words": (0.0,) * 6}, {})
     with pytest.raises(ValueError):
         scoring.Lexicon({"a": (0.0,)}, {})
-    with pytest.raises(ValueError):
-        scoring.Lexicon({f"w{i}": (0.0,) * 6 for i in range(1000)}, {})
+
+
+def test_lexicon_of_any_size(spark):
+    weights = {f"w{i}": (float(i), 0, 0, 0, 0, 0) for i in range(1000)}
+    scores = scoring.Lexicon(weights, {"toxic": -999.0})(F.col("text"))
+    df = spark.createDataFrame([("w999 w1000",)], "text string")
+    assert df.select(scores.alias("s")).first().s[0].score == 0.5
 
 
 def test_both_scorers_agree(spark):
@@ -152,6 +156,9 @@ def test_large_weight_table_joins_without_broadcast_hint(spark, monkeypatch):
     assert sizes.broadcast_if_small(big, 49) is big
     assert sizes.broadcast_if_small(big, 50) is not big
     assert sizes.broadcast_if_small(big, 49, as_literals=False) is big
+    assert sizes.broadcast_if_small(big, 50, max_bytes=100) is big
+    assert sizes.broadcast_if_small(big, 50, as_literals=False, max_bytes=100) is big
+    assert sizes.broadcast_if_small(big, 50, as_literals=False, max_bytes=5000) is not big
 
 
 def test_blank_comments(spark):
@@ -262,13 +269,13 @@ def test_threshold_sweep(spark):
 
 
 def test_samples(spark):
+    rows = [(1, "What a wonderful garden you grew!"), (2, "Such a p4thetic l0ser, an 1diot")]
     records = scoring.predict(
-        sample_comments(spark), "comment", keep=["category", "expected_flag"]
-    ).collect()
-    assert len(records) == 7
-    assert not any(r.is_toxic for r in records if r.expected_flag == "Clean")
-    obfuscated = next(r for r in records if r.category.startswith("Obfuscated"))
-    assert obfuscated.cleaned_text == "ur a useless bitch, go kill urself u fucking loser."
+        spark.createDataFrame(rows, "id int, comment string"), "comment", keep=["id"]
+    )
+    out = {r.id: r for r in records.collect()}
+    assert not out[1].is_toxic and out[2].is_toxic
+    assert out[2].cleaned_text == "such a pathetic loser, an idiot"
 
 
 def test_network_scorer(spark, comments):

@@ -20,6 +20,16 @@ def test_labelled_csv(spark, tmp_path):
     assert readers.resolve_labelled_columns(df).columns == ["text", "label"]
 
 
+def test_labelled_csv_goes_by_name(spark, tmp_path):
+    path = tmp_path / "permuted.csv"
+    path.write_text("cyberbullying_type,extra,tweet_text\nage,1,some text\n")
+    df = readers.read_labelled_csv(spark, str(path))
+    assert df.columns == ["tweet_text", "cyberbullying_type"]
+    assert [tuple(r) for r in df.collect()] == [("some text", "age")]
+    everything = readers.read_labelled_csv(spark, str(path), schema=None)
+    assert everything.columns == ["cyberbullying_type", "extra", "tweet_text"]
+
+
 def test_columns_by_position(spark):
     df = spark.createDataFrame([("t", "l", 1)], "body string, kind string, n int")
     assert readers.resolve_labelled_columns(df).first().asDict() == {"text": "t", "label": "l"}
