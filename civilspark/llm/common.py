@@ -86,6 +86,71 @@ def gapless_rank(
     )
 
 
+def ordered(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str | Column],
+    parts: int,
+    purpose: str,
+    totals: dict[str, str] | None = None,
+    per_key: DataFrame | None = None,
+) -> DataFrame:
+    """Number the rows of each key in the given order, in column ``nth`` from 0.
+
+    ``totals`` maps new columns to those whose running sum, the row included, they hold.
+    ``per_key`` has the keys and further columns that the rows of the key get.
+
+    The rows are dealt to ``parts`` ranges of (keys, order) and written with the number
+    of their range; sums per range and key place the ranges one after the other.  A key
+    with a third of all rows lies in many ranges, and columns of ``per_key`` reach its
+    rows through its ranges.  Null keys form a key of their own.  Ranges cannot part
+    rows with equal keys and order: end the order with a column that tells them apart.
+    """
+    totals = totals or {}
+    dealt = df.repartitionByRange(parts, *keys, *order).withColumn(
+        "_part", F.spark_partition_id()
+    )
+    dealt = materialise(dealt, purpose)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    starts = dealt.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(column).alias(f"_sum_{name}") for name, column in totals.items()],
+    )
+    starts = starts.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.col("_part").alias("_key_part"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"),
+        *[
+            F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}")
+            for name in totals
+        ],
+    )
+    added = []
+    if per_key is not None:
+        added = [c for c in per_key.columns if c not in keys]
+        named = per_key.select(*[F.col(k).alias(f"_own_{k}") for k in keys], *added)
+        same = F.lit(True)
+        for key in keys:
+            same &= F.col(f"_key_{key}").eqNullSafe(F.col(f"_own_{key}"))
+        starts = starts.join(named, same).drop(*[f"_own_{k}" for k in keys])
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = dealt.withColumn("_row", F.row_number().over(within))
+    for name, column in totals.items():
+        numbered = numbered.withColumn(f"_upto_{name}", F.sum(column).over(running))
+    same = F.col("_part") == F.col("_key_part")
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"_key_{key}"))
+    return numbered.join(starts, same).select(
+        *df.columns,
+        (F.col("_first") + F.col("_row") - 1).alias("nth"),
+        *[(F.col(f"_before_{n}") + F.col(f"_upto_{n}")).alias(n) for n in totals],
+        *added,
+    )
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, component)``.
 

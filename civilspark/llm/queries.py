@@ -13,10 +13,13 @@ from civilspark.llm import (
     language,
     licenses,
     lines,
+    manifest,
+    mixing,
     pq,
     scoring,
     secrets,
     shards,
+    spelling,
 )
 from civilspark.llm.common import text_or_empty
 from civilspark.llm.oracle import ORACLE
@@ -117,6 +120,31 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return buckets.pack(spark, read_table(spark, folder, "documents"))
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    # Rows whose id has a checksum that 7 divides are tampered with.
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = F.col("n_chars").cast("decimal(38,0)") + 1
+    changed = F.when(chosen, more).otherwise(F.col("n_chars").cast("decimal(38,0)"))
+    rows = manifest.leaves(docs, altered={"n_chars": changed})
+    proven = manifest.manifest(spark, rows)
+    shown = ("leaf", "subroot", "root", "proof_sha256", "folded_root")
+    return proven.select(
+        "doc_id",
+        *[F.lower(F.hex(c)).alias(c) for c in shown],
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(spark, read_table(spark, folder, "documents"))
+
+
+def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.taken(spark, read_table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_secrets": op1_secrets,
@@ -129,6 +157,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_shards": op9_shards,
     "op10_packing": op10_packing,
+    "op11_manifest": op11_manifest,
+    "op12_spelling": op12_spelling,
+    "op13_mixing": op13_mixing,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
