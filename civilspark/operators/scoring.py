@@ -182,10 +182,14 @@ def _with_scores(
     ready = (
         df.withColumn("_cleaned", F.when(blank, "").otherwise(clean_text(text)))
         .withColumn("_model_text", decode_leet(F.col("_cleaned")))
-        .withColumn(
-            "_scores",
-            F.when(blank, S.zero_scores(labels)).otherwise(scorer(F.col("_model_text"))),
-        )
+    )
+    if hasattr(scorer, "add_scores"):
+        ready = scorer.add_scores(ready, "_model_text", "_given")
+        given = F.col("_given")
+    else:
+        given = scorer(F.col("_model_text"))
+    ready = ready.withColumn(
+        "_scores", F.when(blank, S.zero_scores(labels)).otherwise(given)
     )
     return ready.select(
         *df.columns, F.inline(F.array(F.struct("_cleaned", "_model_text", "_scores")))
@@ -222,21 +226,24 @@ def predict(
     text_col: str = "text",
     scorer: Lexicon | Scorer | None = None,
     threshold: float = fixed.THRESHOLD,
-    highlight_tokens: bool = True,
+    highlight_tokens: bool | None = None,
     keep: Sequence[str] = (),
     labels: Sequence[str] = fixed.LABELS,
 ) -> DataFrame:
     """Prediction record per comment (nine fixed fields plus ``keep``).
 
     One projection over the input: no shuffle, one Python crossing at most.
-    Highlights need a :class:`Lexicon`; other scorers go through
-    ``explain.explain_by_occlusion``.
+    A scorer is a :class:`Lexicon`, fitted heads (``heads.LinearHeads``) or a column
+    function.  A lexicon explains toxic comments in place unless told not to; with the
+    others ``jobs.explained_records`` attaches the highlights.
     """
     scorer = scorer or default_lexicon()
-    if isinstance(scorer, Lexicon):
+    if hasattr(scorer, "labels"):
         labels = scorer.labels
-    elif highlight_tokens:
-        raise ValueError("highlights in place need a Lexicon; see explain_by_occlusion")
+    if highlight_tokens is None:
+        highlight_tokens = isinstance(scorer, Lexicon)
+    elif highlight_tokens and not isinstance(scorer, Lexicon):
+        raise ValueError("highlights in place need a Lexicon; see jobs.explained_records")
     scored = judge(
         _with_scores(df, text_col, scorer, labels).withColumnRenamed("_scores", "scores"),
         threshold,

@@ -16,6 +16,7 @@ from civilspark.functions.text import (
     is_blank,
     model_text,
 )
+from civilspark.operators import heads as linear_heads
 from civilspark.operators import metrics, models
 from civilspark.operators.explain import explain_by_occlusion
 from civilspark.operators.prepare import stratified_split, text_key
@@ -81,6 +82,45 @@ def explain_comments(
     return explain_by_occlusion(ready, ids, scorer)
 
 
+def explained_records(
+    comments: DataFrame,
+    ids: Sequence[str],
+    text_col: str,
+    scorer,
+    threshold: float = fixed.THRESHOLD,
+    labels: Sequence[str] = fixed.LABELS,
+) -> DataFrame:
+    """Records with highlights for any scorer; ``ids`` must be unique.
+
+    The records are written once; only toxic ones meet their highlights, so other texts
+    are not moved.
+    """
+    records = predict(
+        comments, text_col, scorer, threshold, highlight_tokens=False, keep=ids, labels=labels
+    )
+    records = materialise(records, "records")
+    toxic = records.where("is_toxic")
+    ready = toxic.select(
+        *ids, "overall_score", decode_leet(F.col("cleaned_text")).alias("model_text")
+    )
+    if isinstance(scorer, linear_heads.LinearHeads):
+        found = linear_heads.explain(ready, ids, scorer)
+    else:
+        found = explain_by_occlusion(ready, ids, scorer)
+    explained = toxic.drop("token_highlights").join(found, list(ids))
+    return records.where("not is_toxic").unionByName(explained)
+
+
+def fit_moderation_heads(
+    documents: DataFrame, labels: DataFrame, text_col: str, id_col: str, names: Sequence[str]
+) -> linear_heads.LinearHeads:
+    """Log-odds heads of 0/1 label columns over the normalised texts."""
+    texts = labels.select(id_col, *names).join(
+        documents.select(id_col, model_text(F.col(text_col)).alias("text")), id_col
+    )
+    return linear_heads.fit_log_odds(materialise(texts, "labelled"), "text", names)
+
+
 def moderate(
     comments: DataFrame, text_col: str, keep: Sequence[str] = (), **scoring
 ) -> DataFrame:

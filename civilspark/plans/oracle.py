@@ -224,6 +224,100 @@ highlights AS (SELECT doc_id, line_no, pos, word, round(importance, 4) AS import
   FROM important)"""
 
 
+STOP = in_list(fixed.STOP_WORDS)
+KEPT = f"""kept AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{WORD}{{2,}}'),
+  lambda w: w NOT IN ({STOP})) AS w FROM documents)"""
+BIGRAMS = "list_transform(list_zip(w[1:-2], w[2:]), lambda p: p[1] || ' ' || p[2])"
+
+# ---- fitted heads ----------------------------------------------------------
+
+HEADS = ("toxic", "insult")
+
+
+def kept_words(x: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({x}), '{WORD}{{2,}}'), lambda w: w NOT IN ({STOP}))"
+
+
+def terms_of(w: str) -> str:
+    grams = BIGRAMS.replace("w[", f"{w}[")
+    return f"list_concat({w}, CASE WHEN len({w}) >= 2 THEN {grams} ELSE [] END)"
+
+
+def model_text_ctes(name: str, source: str) -> str:
+    """``name(..., cleaned, model_text, original_text)`` of ``source(..., x)``."""
+    return f"""{name}_raw AS (SELECT *, x AS original_text FROM {source}),
+{clean_ctes(name + "_clean", name + "_raw")},
+{name} AS (SELECT * EXCLUDE (x), x AS model_text FROM
+  (SELECT *, {leet("cleaned")} AS x FROM {name}_clean))"""
+
+
+def heads_ctes() -> str:
+    """Log odds of terms as weights: ``weights(term, idf, <labels>)``, ``bias(<labels>)``."""
+    counts = ", ".join(f"sum({l}) AS p_{l}, sum(1 - {l}) AS n_{l}" for l in HEADS)
+    prior = {l: f"((s.p_{l} + 1.0::DOUBLE) / (s.n + 2.0::DOUBLE))" for l in HEADS}
+    odds = ", ".join(
+        f"ln((t.p_{l} + {p}) / (t.n_{l} + (1.0 - {p}))) - ln({p} / (1.0 - {p})) AS {l}"
+        for l, p in prior.items()
+    )
+    bias = ", ".join(f"ln({p} / (1.0 - {p})) AS {l}" for l, p in prior.items())
+    return f"""{model_text_ctes("docs", DOCS)},
+marks AS (SELECT doc_id, (toxic = 1)::INT AS toxic, (toxic = 1 AND quality = 0)::INT AS insult FROM labels),
+marked AS (SELECT doc_id, toxic, insult, {kept_words("model_text")} AS w FROM docs JOIN marks USING (doc_id)),
+mark_terms AS (SELECT doc_id, toxic, insult, unnest({terms_of("w")}) AS term FROM marked),
+mark_tfs AS (SELECT doc_id, toxic, insult, term, count(*) AS tf FROM mark_terms GROUP BY ALL),
+mark_sizes AS (SELECT count(*) AS n, {counts} FROM marked),
+mark_vocab AS (SELECT term, count(*) AS df, sum(tf) AS total, {counts} FROM mark_tfs GROUP BY term
+  ORDER BY total DESC, term LIMIT {fixed.TFIDF_MAX_FEATURES}),
+weights AS (SELECT term, ln((1.0::DOUBLE + s.n) / (1.0::DOUBLE + df)) + 1.0 AS idf, {odds}
+  FROM mark_vocab t, mark_sizes s),
+bias AS (SELECT {bias} FROM mark_sizes s)"""
+
+
+def heads_scores(name: str, source: str, ids: str, text: str) -> str:
+    """CTEs from ``source(ids, text)`` to ``name(ids, <labels>)``."""
+    sums = ", ".join(f"sum(v * {l}) AS {l}" for l in HEADS)
+    probs = ", ".join(
+        f"1.0 / (1.0 + exp(-(b.{l} + coalesce(s.{l} / sqrt(s.q), 0.0)))) AS {l}" for l in HEADS
+    )
+    return f"""{name}_terms AS (SELECT {ids}, unnest({terms_of("w")}) AS term
+  FROM (SELECT {ids}, {kept_words(text)} AS w FROM {source})),
+{name}_tfs AS (SELECT {ids}, term, count(*) AS tf FROM {name}_terms GROUP BY ALL),
+{name}_sums AS (SELECT {ids}, sum(v * v) AS q, {sums}
+  FROM (SELECT {ids}, (1 + ln(tf)) * idf AS v, {", ".join(HEADS)} FROM {name}_tfs JOIN weights USING (term))
+  GROUP BY {ids}),
+{name} AS (SELECT d.*, {probs} FROM {source} d LEFT JOIN {name}_sums s USING ({ids}), bias b)"""
+
+
+def heads_judged(name: str, scored: str) -> str:
+    rest = ", ".join(f"0.0::DOUBLE AS {l}" for l in fixed.LABELS if l not in HEADS)
+    return f"""{name} AS (SELECT *, {rest}, greatest({", ".join(HEADS)}) AS overall_score FROM {scored})"""
+
+
+HEADS_REPORT = f"""WITH {heads_ctes()},
+{heads_scores("docs_scored", "docs", "doc_id", "model_text")},
+{heads_judged("judged", "docs_scored")}
+{{report}} WHERE regexp_matches(original_text, '{NOT_SPACE}')"""
+
+HEADS_HIGHLIGHTS = f"""WITH {heads_ctes()},
+{model_text_ctes("lines", LINES)},
+{heads_scores("lines_scored", "lines", "doc_id, line_no", "model_text")},
+toxic AS (SELECT doc_id, line_no, greatest({", ".join(HEADS)}) AS overall_score,
+  list_filter(regexp_split_to_array(model_text, '{SPACE}+'), lambda w: w <> '') AS words
+  FROM lines_scored WHERE greatest({", ".join(HEADS)}) >= {fixed.THRESHOLD}),
+placed AS (SELECT *, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1)::INT - 1 AS pos
+  FROM toxic),
+variants AS (SELECT doc_id, line_no, pos, array_to_string(list_concat(words[1:pos], words[pos + 2:]), ' ') AS variant
+  FROM placed WHERE n BETWEEN {fixed.EXPLAIN_MIN_WORDS} AND {fixed.EXPLAIN_MAX_WORDS}),
+{heads_scores("variants_scored", "variants", "doc_id, line_no, pos", "variant")},
+important AS (SELECT p.doc_id, p.line_no, p.pos, word, overall_score,
+  greatest(0.0, overall_score - coalesce(greatest({", ".join("v." + l for l in HEADS)}), overall_score)) AS importance
+  FROM placed p LEFT JOIN variants_scored v USING (doc_id, line_no, pos))
+SELECT doc_id, line_no, pos, word, round(importance, 4) AS importance,
+  importance >= {fixed.TRIGGER_IMPORTANCE}
+    OR (importance >= {fixed.TRIGGER_IMPORTANCE_CONFIDENT} AND overall_score > {fixed.CONFIDENT_BASELINE}) AS is_toxic_token
+FROM important"""
+
+
 # ---- metrics ---------------------------------------------------------------
 
 
@@ -296,11 +390,6 @@ encoded AS (SELECT t.conv_id, t.turn, list_resize(coalesce(l.ids, []), {n}, 0) A
   FROM turns t LEFT JOIN turn_lists l USING (conv_id, turn))"""
 
 
-STOP = in_list(fixed.STOP_WORDS)
-KEPT = f"""kept AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{WORD}{{2,}}'),
-  lambda w: w NOT IN ({STOP})) AS w FROM documents)"""
-BIGRAMS = "list_transform(list_zip(w[1:-2], w[2:]), lambda p: p[1] || ' ' || p[2])"
-
 SPLIT_CTES = f"""firsts AS (SELECT doc_id, lang, text,
   row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy FROM documents),
 usable AS (SELECT doc_id, lang, md5('{fixed.SEED}|' || doc_id::VARCHAR) AS h FROM firsts
@@ -433,6 +522,8 @@ SELECT doc_id, line_no, pos, word, importance, is_toxic_token FROM highlights"""
 SELECT doc_id, line_no, coalesce(string_agg(word, ', ' ORDER BY pos) FILTER (is_toxic_token), '') AS trigger_words
 FROM highlights GROUP BY doc_id, line_no""",
     "batch_report": with_scores(REPORT),
+    "heads_report": HEADS_REPORT.replace("{report}", REPORT),
+    "heads_highlights": HEADS_HIGHLIGHTS,
     "batch_summary": with_scores(SUMMARY),
     "toxic_rows": with_scores(f"{REPORT} WHERE overall_score >= {fixed.THRESHOLD}"),
     "category_metadata": with_scores(

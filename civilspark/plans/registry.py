@@ -354,6 +354,34 @@ def trigger_words(spark, folder):
     )
 
 
+HEADS = ("toxic", "insult")
+
+
+def _heads(spark, folder):
+    """Heads fitted on ``labels``; toxic documents of low quality stand for insults."""
+    both = (F.col("toxic") == 1) & (F.col("quality") == 0)
+    marks = read_table(spark, folder, "labels").select(
+        "doc_id", F.col("toxic").cast("int").alias("toxic"), both.cast("int").alias("insult")
+    )
+    return jobs.fit_moderation_heads(documents(spark, folder), marks, "text", "doc_id", HEADS)
+
+
+def heads_report(spark, folder):
+    """Flat report of all documents scored by fitted heads."""
+    records = jobs.moderate(
+        documents(spark, folder), "text", keep=["doc_id"], scorer=_heads(spark, folder)
+    )
+    return scoring.batch_report(records, ["doc_id"])
+
+
+def heads_highlights(spark, folder):
+    """Words of toxic lines with their importance to the fitted heads."""
+    records = jobs.explained_records(
+        document_lines(spark, folder), ["doc_id", "line_no"], "comment", _heads(spark, folder)
+    )
+    return records.select("doc_id", "line_no", F.inline("token_highlights"))
+
+
 def batch_report(spark, folder):
     records = jobs.moderate(documents(spark, folder), "text", keep=["doc_id"])
     return scoring.batch_report(records, ["doc_id"])
@@ -629,6 +657,8 @@ QUERIES = {
         occlusion_highlights,
         trigger_words,
         batch_report,
+        heads_report,
+        heads_highlights,
         batch_summary,
         toxic_rows,
         category_metadata,

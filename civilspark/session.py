@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_ROOT: list[str] = []  # temporary folder of this process, once needed
+
 
 def local_session(
     cores: str | int = "*", app_name: str = "civilspark", shuffle_partitions: int = 8
@@ -32,15 +34,16 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
     The setting is required where executors are processes of their own, since they must
-    see the folder.  ``local_session`` sets it; other sessions in which driver and
-    executors are one process get a temporary folder.
+    see the folder.  Where driver and executors are one process and it is unset, as in
+    tests, a temporary folder stands in.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext._jsc.sc().isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="civilspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL_ROOT:
+            _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="civilspark-"))
+        root = _LOCAL_ROOT[0]
     return f"{root.rstrip('/')}/civilspark/{purpose}-{uuid.uuid4().hex}"
 
 

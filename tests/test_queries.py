@@ -4,8 +4,9 @@ import pytest
 from compare import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from civilspark.plans.oracle import ORACLE as SQL
+from civilspark.plans.registry import QUERIES
 
-SQL = oracle_sql()
 # Fits take a while and have no SQL; the operators behind them are tested in
 # test_models.
 FITS = {
@@ -23,12 +24,17 @@ def con(small):
 
 
 def test_every_query_has_sql_or_is_a_fit():
-    assert set(queries()) - set(SQL) == FITS
+    assert set(QUERIES) - set(SQL) == FITS
+    assert set(SQL) <= set(QUERIES)
+
+
+def test_the_entry_has_all_queries():
+    assert queries().keys() >= QUERIES.keys() and oracle_sql().keys() >= SQL.keys()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, small, con, name):
-    assert differences(queries()[name](spark, small), con, SQL[name]) is None
+    assert differences(QUERIES[name](spark, small), con, SQL[name]) is None
 
 
 def test_entry(spark):
