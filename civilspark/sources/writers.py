@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from civilspark.operators.metrics import confusion_wide
 
-_CSV = {"header": True, "quote": '"', "escape": '"', "escapeQuotes": True}
+_CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "escapeQuotes": True,
+    # Spark trims fields when writing unless told not to.
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_splits(
