@@ -14,10 +14,11 @@ What keeps large groups of copies from becoming all pairs:
 * each token's documents are first compared with one of them only; pairs that share
   many tokens are verified and joined to components; this is repeated with other
   pivots for tokens that several components still share;
-* after that, only tokens that several components share are joined, component against
-  component, and only pairs of components that pass are taken apart into documents;
-  the shorter document of a pair enters that join with a shorter prefix, since its
-  overlap must be larger in proportion, so copies that differ too much seldom meet.
+* what is left of contested tokens is compared by difference: each token's documents are
+  laid beside a central one of them, and only documents that differ from it in the same
+  tokens, of which a link needs a number, are paired, asked for their shared prefix
+  tokens, and verified.  Near copies that miss the similarity narrowly share nearly all
+  of their tokens but few of their differences, so they seldom meet.
 
 No link between components is lost, since no two documents of different components
 skip the comparison.  The global order comes from a sketch of shingle frequencies of a
@@ -34,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civilspark.llm.common import components, shingle_set
@@ -131,11 +132,6 @@ def _need(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def _need_as_shorter(n: Column, percent: int) -> Column:
-    """Least overlap of a set of n tokens with a similar one that is not smaller."""
-    return F.ceil(2 * n * percent / F.lit(100 + percent))
-
-
 def _overlap(n: Column, m: Column, percent: int) -> Column:
     """Least overlap of two sets of n and m tokens with the similarity."""
     return F.ceil((n + m) * percent / F.lit(100 + percent))
@@ -190,9 +186,9 @@ def _promising(x: str, y: str, shared: Column, percent: int) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs ``(x, y)`` whose whole sets have the similarity."""
-    wanted = pairs.select(F.col("x").alias("_doc")).union(pairs.select("y")).distinct()
+def _token_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(doc, tokens)`` of the wanted ``doc``, written."""
+    wanted = wanted.select(F.col("doc").alias("_doc")).distinct()
     # Hashed ids, SLOTS rows at most, keep most other texts from being moved.
     slot = lambda column: F.pmod(F.xxhash64(column), F.lit(SLOTS))
     slots = wanted.select(slot("_doc").alias("_slot")).distinct()
@@ -211,14 +207,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = texts.mapInPandas(sets, f"doc {kind}, tokens array<bigint>").distinct()
-    tokens = materialise(tokens, "sets")
-    one = tokens.select(F.col("doc").alias("x"), F.col("tokens").alias("tokens_x"))
-    two = tokens.select(F.col("doc").alias("y"), F.col("tokens").alias("tokens_y"))
+    return materialise(tokens, "sets")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(x, y, ...)`` with ``tokens_x`` and ``tokens_y``."""
+    one = sets.select(F.col("doc").alias("x"), F.col("tokens").alias("tokens_x"))
+    two = sets.select(F.col("doc").alias("y"), F.col("tokens").alias("tokens_y"))
+    return pairs.join(one, "x").join(two, "y")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs ``(x, y)`` whose whole sets have the similarity."""
+    ends = pairs.select(F.col("x").alias("doc")).union(pairs.select("y"))
     both = F.size(F.array_intersect("tokens_x", "tokens_y"))
     either = F.size("tokens_x") + F.size("tokens_y") - both
     return (
-        pairs.join(one, "x")
-        .join(two, "y")
+        _with_sets(pairs, _token_sets(ends, docs, width))
         .where((both > 0) & (both * 100 >= either * percent))
         .select("x", "y")
     )
@@ -260,62 +265,160 @@ def _contested(postings: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(placed.drop("component").join(spread, "token"), "contested")
 
 
-def _cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """Promising pairs of documents in different components."""
-    sides = {}
-    shorter = F.col("pos") < F.col("n") - _need_as_shorter(F.col("n"), percent) + F.col("ell")
-    for name, rows in (("x", placed.where(shorter)), ("y", placed)):
-        sides[name] = rows.groupBy("token", F.col("comp").alias(f"comp_{name}")).agg(
-            F.min("n").alias(f"least_{name}"),
-            F.max("n").alias(f"most_{name}"),
-            F.min("ell").alias(f"ell_{name}"),
-        )
-    lx, ly, mx, my = (F.col(c) for c in ("least_x", "least_y", "most_x", "most_y"))
-    in_order = (lx < my) | ((lx == my) & (F.col("comp_x") < F.col("comp_y")))
-    behind = F.greatest(
-        _need_as_shorter(mx, percent) - F.col("ell_x"), _need(my, percent) - F.col("ell_y")
+def _families(active: DataFrame) -> DataFrame:
+    """``(x, y)``: each contested token's documents ``y``, itself included, with a central one, ``x``.
+
+    Central is who has the fewest tokens that nobody shares, for the size of its prefix:
+    among near copies, one with few changes, the same for nearly all of their tokens.
+    """
+    shared = F.count(F.lit(1)) / F.col("n")
+    alone = active.groupBy("doc", "n").agg((-shared).alias("alone")).drop("n")
+    alone = alone.groupBy(F.col("doc").alias("_doc")).agg(F.min("alone").alias("alone"))
+    placed = active.join(alone, F.col("doc") == F.col("_doc"))
+    pivots = placed.groupBy("token").agg(F.min(F.struct("alone", "doc")).alias("p"))
+    pairs = active.join(pivots, "token").select(F.col("p.doc").alias("x"), F.col("doc").alias("y"))
+    return pairs.distinct()
+
+
+def _differences(families: DataFrame) -> DataFrame:
+    """``(pivot, doc, node, n, n_pivot, tokens)``: what only one of member and pivot has.
+
+    ``pivot`` and ``node`` are digests of the sets, since an id may have several texts.
+    """
+
+    def differences(batches):
+        for batch in batches:
+            rows = []
+            for doc, old, new in zip(batch["y"], batch["tokens_x"], batch["tokens_y"]):
+                tokens = np.setxor1d(old, new, assume_unique=True)
+                rows.append((digest(old), doc, digest(new), len(new), len(old), tokens))
+            yield pd.DataFrame(rows, columns=["pivot", "doc", "node", "n", "n_pivot", "tokens"])
+
+    def digest(tokens):
+        return hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest()
+
+    kind = families.schema["x"].dataType.simpleString()
+    return families.select("y", "tokens_x", "tokens_y").mapInPandas(
+        differences,
+        f"pivot binary, doc {kind}, node binary, n bigint, n_pivot bigint, tokens array<bigint>",
     )
-    pairs = (
-        sides["x"]
-        .join(sides["y"], "token")
-        .where((F.col("comp_x") != F.col("comp_y")) & in_order)
-        .where((mx * 100 >= ly * percent) & (my * 100 >= lx * percent))
-        .groupBy("comp_x", "comp_y")
-        .agg(
-            F.count(F.lit(1)).alias("shared"),
-            *[F.min(c).alias(c) for c in ("least_x", "least_y", "ell_x", "ell_y")],
-            *[F.max(c).alias(c) for c in ("most_x", "most_y")],
-        )
-        .where(
-            (F.col("shared") >= F.least("ell_x", "ell_y"))
-            & (F.col("shared") + behind >= _overlap(lx, ly, percent))
-        )
-        .select(F.least("comp_x", "comp_y").alias("comp_x"), F.greatest("comp_x", "comp_y").alias("comp_y"))
-        .distinct()
+
+
+def _deltas(rows: DataFrame, percent: int) -> DataFrame:
+    """How each member of a family differs from its centre, as far as links depend on it.
+
+    The centre is the pivot with all tokens changed in which most near members differ from
+    it; it need not be a document.  D(y) has the tokens that only one of y and the centre
+    has.  Members y and z differ in |D(y)| + |D(z)| - 2 |D(y) & D(z)| tokens, and link if
+    that is at most c = (100 - percent) / (100 + percent) of the sum of their sizes.
+
+    The hub m has the least score |D| - c * n.  ``linked`` says who links with it.  Members
+    that both do are in one component.  If z does not, |D(z)| > c * (n(z) + n(m)) - |D(m)|,
+    so a link needs |D(y) & D(z)| > (score(y) - score(m)) / 2, which is 0 at least; and
+    |D(z)| - c * (n(y) + n(z)) at least.  Hence any y has a token of the link among its
+    first ``as_y`` in any common order of the tokens, and z among its first ``as_x``.
+    """
+    total = F.col("n") + F.col("n_pivot")
+    close = rows.where(F.size("tokens") * (100 + percent) <= total * 2 * (100 - percent))
+    many = close.groupBy("pivot").agg(F.count(F.lit(1)).alias("many"))
+    common = close.select("pivot", F.explode("tokens").alias("token")).groupBy("pivot", "token")
+    common = common.agg(F.count(F.lit(1)).alias("df")).join(many, "pivot")
+    common = common.where(F.col("df") * 2 > F.col("many")).groupBy("pivot")
+    common = materialise(common.agg(F.collect_list("token").alias("changed")), "centres")
+    changed = F.coalesce("changed", F.array().cast("array<bigint>"))
+    moved = F.concat(F.array_except("tokens", changed), F.array_except(changed, "tokens"))
+    score = F.col("size") * (100 + percent) - F.col("n") * (100 - percent)
+    rows = rows.join(common, "pivot", "left").select("pivot", "doc", "node", "n", moved.alias("tokens"))
+    rows = rows.withColumn("size", F.size("tokens").cast("bigint")).withColumn("score", score)
+    rows = materialise(rows, "centred")
+    hubs = rows.groupBy("pivot").agg(F.min(F.struct("score", "node", "doc")).alias("h"))
+    hubs = hubs.select(F.col("pivot").alias("_pivot"), F.col("h.doc").alias("hub"), F.col("h.node").alias("_node"))
+    same = (F.col("pivot") == F.col("_pivot")) & (F.col("doc") == F.col("hub")) & (F.col("node") == F.col("_node"))
+    hubs = rows.join(hubs, same).select(
+        "pivot", "hub", *[F.col(c).alias(f"hub_{c}") for c in ("n", "size", "score", "tokens")]
     )
-    pairs = materialise(pairs, "component-pairs")
-
-    def members(name: str) -> DataFrame:
-        return placed.select(
-            F.col("token").alias(f"token_{name}"),
-            F.col("comp").alias(f"comp_{name}"),
-            F.col("doc").alias(name),
-            F.col("n").alias(f"n_{name}"),
-            F.col("ell").alias(f"ell_{name}"),
-        )
+    rows = rows.join(materialise(hubs, "hubs"), "pivot")
+    apart = F.col("size") + F.col("hub_size") - 2 * F.size(F.array_intersect("tokens", "hub_tokens"))
+    total = F.col("n") + F.col("hub_n")
+    linked = (apart < total) & (apart * (100 + percent) <= total * (100 - percent))
+    most = F.floor(F.col("n") * (100 - percent) / F.lit(percent))
+    as_x = F.col("size") - F.greatest(F.lit(1), F.col("size") - most) + 1
+    ahead = F.floor((F.col("score") - F.col("hub_score")) / F.lit(2 * (100 + percent)))
+    return rows.select(
+        "pivot",
+        "doc",
+        "node",
+        "n",
+        "size",
+        "hub",
+        linked.alias("linked"),
+        F.when(linked, F.lit(0)).otherwise(as_x).cast("bigint").alias("as_x"),
+        (F.col("size") - ahead).cast("bigint").alias("as_y"),
+        "tokens",
+    )
+
+
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows(doc, ...)`` with their component, ``comp``."""
+    comps = found.select(F.col("node").alias("_doc"), "component")
+    return rows.join(comps, F.col("doc") == F.col("_doc"), "left").withColumn(
+        "comp", F.coalesce("component", "doc")
+    ).drop("_doc", "component")
 
-    taken = pairs.join(members("x"), "comp_x").withColumnRenamed("token_x", "token")
-    taken = taken.join(
-        members("y").withColumnRenamed("token_y", "token"), ["comp_y", "token"]
+
+def _delta_pairs(deltas: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(x, y)`` of members in different components that share differing tokens.
+
+    Tokens stand in order of their number in the family; those of one member come first
+    and need no row.
+    """
+    of = ["pivot", "token"]
+    rows = deltas.select(
+        "pivot", "doc", "node", "n", "size", "comp", "as_x", "as_y",
+        F.explode("tokens").alias("token"),
+    )
+    rows = materialise(rows, "differing")
+    counted = rows.groupBy(*of).agg(
+        F.count(F.lit(1)).alias("df"), F.min("comp").alias("least"), F.max("comp").alias("most")
     )
-    counted = (
-        taken.where(F.col("n_x") * 100 >= F.col("n_y") * percent)
+    shared = rows.join(counted.where("df > 1"), of)
+    in_order = Window.partitionBy("pivot", "doc", "node").orderBy("df", "token")
+    everywhere = Window.partitionBy("pivot", "doc", "node")
+    own = F.col("size") - F.count(F.lit(1)).over(everywhere)
+    rows = shared.withColumn("pos", own + F.row_number().over(in_order) - 1).where(
+        (F.col("least") < F.col("most")) & (F.col("pos") < F.greatest("as_x", "as_y"))
+    )
+    rows = materialise(rows, "deltas")
+
+    def side(name: str) -> DataFrame:
+        own = rows.where(F.col("pos") < F.col(f"as_{name}"))
+        columns = [F.col(c).alias(f"{c}_{name}") for c in ("n", "size", "comp")]
+        return own.select(*of, F.col("doc").alias(name), *columns)
+
+    total, apart = F.col("n_x") + F.col("n_y"), F.abs(F.col("size_x") - F.col("size_y"))
+    return (
+        side("x")
+        .join(side("y"), of)
+        .where("comp_x <> comp_y")
+        .where(F.col("n_x") * 100 >= F.col("n_y") * percent)
         .where(F.col("n_y") * 100 >= F.col("n_x") * percent)
-        .groupBy("x", "y", "n_x", "n_y", "ell_x", "ell_y")
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(apart * (100 + percent) <= total * (100 - percent))
+        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        .distinct()
     )
-    counted = counted.where(_promising("x", "y", F.col("shared"), percent))
-    return counted.select("x", "y").distinct()
+
+
+def _with_enough_shared(pairs: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share as many prefix tokens as their prefixes ask for."""
+    lists = postings.groupBy("doc", "n", "ell").agg(F.collect_set("token").alias("prefix"))
+
+    def side(name: str) -> DataFrame:
+        columns = [F.col(c).alias(f"{c}_{name}") for c in ("n", "ell", "prefix")]
+        return lists.select(F.col("doc").alias(name), *columns)
+
+    shared = F.size(F.array_intersect("prefix_x", "prefix_y"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    return both.where(_promising("x", "y", shared, percent)).select("x", "y").distinct()
 
 
 def near_components(
@@ -337,7 +440,8 @@ def near_components(
     with_words = texts.where("n > 0 and doc_id is not null")
     nodes = with_words.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     nodes = materialise(nodes, "nodes")
-    prefixes = _prefixes(docs.where("doc_id is not null"), width, percent, _sketch(profile))
+    sketch = _sketch(profile)
+    prefixes = _prefixes(docs.where("doc_id is not null"), width, percent, sketch)
     chosen = nodes.withColumnRenamed("sig", "_sig").hint("shuffle_hash")
     prefixes = prefixes.join(
         chosen, (F.col("doc_id") == F.col("rep")) & (F.col("sig") == F.col("_sig")), "left_semi"
@@ -374,7 +478,16 @@ def near_components(
         if not joined(_star_pairs(active, percent, seed)):
             break
         active = _contested(postings, found)
-    joined(_cross_pairs(active, percent))
+    families = materialise(_families(active), "families")
+    if not families.isEmpty():
+        ends = families.select(F.col("x").alias("doc")).union(families.select("y"))
+        members = _with_sets(families, _token_sets(ends, docs, width))
+        differences = materialise(_differences(members), "differences")
+        deltas = materialise(_deltas(differences, percent), "family-deltas")
+        hub_links = deltas.where("linked").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+        found = components(found.toDF("a", "b").union(hub_links))
+        pairs = materialise(_delta_pairs(_placed(deltas, found), percent), "delta-pairs")
+        joined(_with_enough_shared(pairs, postings, percent))
     placed = nodes.join(found, F.col("rep") == F.col("node"), "left").select(
         "sig", F.coalesce("component", "rep").alias("found")
     )

@@ -484,3 +484,51 @@ def test_packing(spark):
         assert sorted(s for s, _ in rows) == list(range(len(rows)))
         assert len(rows) == 1 or len(rows) * rows[0][1] <= 300
     assert buckets.pack(spark, spark.createDataFrame([], DOCS)).count() == 0
+
+
+# ---- near misses of the n-gram Jaccard join --------------------------------
+
+
+@pytest.mark.parametrize("seed, width, percent", [(1, 3, 90), (3, 1, 80)])
+def test_jaccard_of_neighbouring_groups(spark, seed, width, percent):
+    """Large groups of copies at distances around the similarity, copies of copies, hot edits."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(400)}"
+
+    def edited(words, many):
+        words = list(words)
+        for _ in range(many):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], [word()], [words[at], word()], ["same", "edit"]])
+        return words
+
+    texts = []
+    for _ in range(2):
+        base = [word() for _ in range(rng.randrange(60, 140))]
+        second = edited(base, 4)
+        for start in (base, second, edited(second, 4)):
+            texts += [edited(start, rng.randrange(0, 6)) for _ in range(40)]
+        texts += [start[: len(start) * 9 // 10], start + start[:8], ["x"], ["x"]]
+    texts = [" ".join(t) for t in texts]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(7, texts[90]), (3, texts[130]), (None, texts[0])]
+    got = jaccard.near_components(spark, table(spark, docs), width, percent).collect()
+    sets = {}
+    for i, text in docs:
+        words = words_of(text)
+        n = min(width, len(words))
+        sets.setdefault(i, set()).add(frozenset(tuple(words[k : k + n]) for k in range(len(words) - n + 1)))
+    nodes = [(i, s) for i, group in sets.items() if i is not None for s in group]
+    root = {i: i for i, _ in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(nodes):
+        for j, b in nodes[:k]:
+            if 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(i, find(i)) for i, _ in nodes}
+    assert 1 < len({find(i) for i, _ in nodes}) < len(nodes)
