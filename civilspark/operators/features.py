@@ -76,10 +76,10 @@ def tfidf(
 ) -> DataFrame:
     """``(id, term, weight)``: sublinear tf, smoothed idf, rows of length 1.
 
-    First pass: term statistics, combined map-side.  Second pass: terms outside
-    the vocabulary are dropped by a broadcast join (safe, since the vocabulary is
-    limited to ``max_features``); what is left is partitioned by document once,
-    which serves both the counting and the length of the row.
+    Terms are counted inside the row in both passes.  First pass: term statistics,
+    combined map-side.  Second pass: terms outside the vocabulary are dropped by a
+    broadcast join (safe, since the vocabulary is limited to ``max_features``); only
+    the distinct terms of a document that are left move, once, for its length.
     """
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
     kept = tfidf_vocabulary(
@@ -87,13 +87,8 @@ def tfidf(
     ).select("term", "idf")
     if max_features <= MAX_BROADCAST_ROWS:
         kept = F.broadcast(kept)
-    found = df.select(
-        id_col, F.explode(ngram_terms(F.col(text_col), **terms)).alias("term")
-    ).join(kept, "term")
-    raw = (
-        found.repartition(id_col)
-        .groupBy(id_col, "term")
-        .agg(((1.0 + F.log(F.count(F.lit(1)))) * F.max("idf")).alias("_w"))
+    raw = document_terms(df, id_col, text_col, **terms).join(kept, "term").select(
+        id_col, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("_w")
     )
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("_w") / length).alias("weight"))

@@ -50,17 +50,60 @@ def confusion_matrix(
     return zeros.unionByName(cells).groupBy("actual", "pred").agg(F.sum("n").alias("n"))
 
 
-def confusion_wide(matrix: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Rows ``Actual_*``, columns ``Pred_*``, both in class order."""
-    order = _class_table(matrix.sparkSession, classes).withColumnRenamed(
-        "label", "actual"
+def confusion_matrices(
+    df: DataFrame, classes: Sequence[str], preds: Mapping[str, Column], actual: str = "actual"
+) -> DataFrame:
+    """``(model, actual, pred, n)`` of many models or thresholds in one aggregation.
+
+    ``preds`` has the predicted class of each model, as a column of ``df``; rows are
+    combined per task before they move, so a model costs a few counters.
+    """
+    verdicts = F.array(
+        *[F.struct(F.lit(m).alias("model"), p.cast("string").alias("pred")) for m, p in preds.items()]
+    )
+    cells = (
+        df.select(F.col(actual).cast("string").alias("actual"), F.inline(verdicts))
+        .groupBy("model", "actual", "pred")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    grid = [(m, a, p, 0) for m in preds for a in classes for p in classes]
+    zeros = df.sparkSession.createDataFrame(
+        grid, "model string, actual string, pred string, n long"
+    )
+    cells = zeros.unionByName(cells).groupBy("model", "actual", "pred")
+    return cells.agg(F.sum("n").alias("n"))
+
+
+OTHER = "(other)"
+
+
+def grouped_classes(matrix: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """The matrix with classes outside the list, and missing ones, as one class."""
+
+    def known(column: str) -> Column:
+        return F.when(F.col(column).isin(list(classes)), F.col(column)).otherwise(F.lit(OTHER))
+
+    return (
+        matrix.select(known("actual").alias("actual"), known("pred").alias("pred"), "n")
+        .groupBy("actual", "pred")
+        .agg(F.sum("n").alias("n"))
     )
-    wide = matrix.groupBy("actual").agg(
+
+
+def confusion_wide(matrix: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """Rows ``Actual_*``, columns ``Pred_*``, both in class order.
+
+    Every row of the data is counted: classes outside the list and missing ones are in the
+    row and column ``(other)``, which come last.
+    """
+    every = [*classes, OTHER]
+    order = _class_table(matrix.sparkSession, every).withColumnRenamed("label", "actual")
+    wide = grouped_classes(matrix, classes).groupBy("actual").agg(
         *[
             F.coalesce(F.sum(F.when(F.col("pred") == c, F.col("n"))), F.lit(0)).alias(
                 f"Pred_{c}"
             )
-            for c in classes
+            for c in every
         ]
     )
     return (
@@ -68,7 +111,7 @@ def confusion_wide(matrix: DataFrame, classes: Sequence[str]) -> DataFrame:
         .orderBy("class_no")
         .select(
             F.concat(F.lit("Actual_"), "actual").alias("class"),
-            *[F.coalesce(f"Pred_{c}", F.lit(0)).alias(f"Pred_{c}") for c in classes],
+            *[F.coalesce(f"Pred_{c}", F.lit(0)).alias(f"Pred_{c}") for c in every],
         )
     )
 
@@ -178,58 +221,83 @@ def compare_models(summaries: Mapping[str, DataFrame], baseline: str) -> DataFra
 def metrics_document(
     matrix: DataFrame, classes: Sequence[str], model: str
 ) -> DataFrame:
-    """One nested row: headline metrics, classes, matrix and report."""
-    report, summary = class_report(matrix), summary_metrics(matrix)
+    """One row of one JSON text, ``document``: headline metrics, classes, matrix, report.
 
-    def entry(precision, recall, f1, support):
+    The matrix is read once, as its cells; classes outside the list that rows have follow
+    the listed ones by name, missing classes count as ``(other)``.
+    """
+    listed = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<string>")
+    named = matrix.select(
+        F.coalesce("actual", F.lit(OTHER)).alias("actual"),
+        F.coalesce("pred", F.lit(OTHER)).alias("pred"),
+        "n",
+    )
+    cells = named.groupBy("actual", "pred").agg(F.sum("n").alias("n"))
+    # k * k rows meet in one row each.
+    matrix_row = cells.agg(
+        F.map_from_entries(
+            F.collect_list(F.struct(F.struct("actual", "pred").alias("k"), F.col("n").alias("v")))
+        ).alias("cells"),
+        F.array_distinct(F.flatten(F.collect_list(F.array("actual", "pred")))).alias("found"),
+    )
+    every = F.concat(listed, F.array_sort(F.array_except("found", listed)))
+    matrix_row = matrix_row.select("cells", every.alias("classes"))
+    grid = F.transform(
+        "classes",
+        lambda a: F.transform(
+            "classes",
+            lambda p: F.coalesce(
+                F.try_element_at(F.col("cells"), F.struct(a.alias("actual"), p.alias("pred"))),
+                F.lit(0),
+            ),
+        ),
+    )
+    report, summary = class_report(named), summary_metrics(matrix)
+    rates = ("precision", "recall", "f1")
+
+    def entry(columns: Sequence[str]) -> Column:
+        names = ("precision", "recall", "f1-score")
         return F.struct(
-            precision.alias("precision"),
-            recall.alias("recall"),
-            f1.alias("f1-score"),
-            support.cast("double").alias("support"),
+            *[F.col(c).alias(n) for c, n in zip(columns, names)],
+            F.col("support").cast("double").alias("support"),
         )
 
     per_class = report.agg(
-        *[
-            F.max(
-                F.when(
-                    F.col("label") == c,
-                    entry(*[F.col(x) for x in ("precision", "recall", "f1", "support")]),
-                )
-            ).alias(f"_c{i}")
-            for i, c in enumerate(classes)
-        ]
+        F.map_from_entries(F.collect_list(F.struct("label", entry(rates).alias("e")))).alias("by")
     )
-    cells = matrix.agg(
-        *[
-            F.coalesce(
-                F.sum(F.when((F.col("actual") == a) & (F.col("pred") == p), F.col("n"))),
-                F.lit(0),
-            ).alias(f"_m{i}_{j}")
-            for i, a in enumerate(classes)
-            for j, p in enumerate(classes)
-        ]
+    both = matrix_row.crossJoin(per_class).crossJoin(summary)  # one row each
+    nothing = F.struct(
+        *[F.lit(0.0).alias(n) for n in ("precision", "recall", "f1-score", "support")]
     )
-    k = len(classes)
-    grid = F.array(
-        *[F.array(*[F.col(f"_m{i}_{j}") for j in range(k)]) for i in range(k)]
+
+    def quoted(text: Column) -> Column:
+        return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+    def pair(key: Column, value: Column) -> Column:
+        return F.concat(quoted(key), F.lit(":"), value)
+
+    classes_part = F.transform(
+        "classes", lambda c: pair(c, F.to_json(F.coalesce(F.try_element_at(F.col("by"), c), nothing)))
     )
     averages = [
-        entry(
-            *[F.col(f"{kind}_{x}") for x in ("precision", "recall", "f1")],
-            F.col("support"),
-        ).alias(f"{kind} avg")
+        pair(F.lit(f"{kind} avg"), F.to_json(entry([f"{kind}_{x}" for x in rates])))
         for kind in ("macro", "weighted")
     ]
-    classes_part = per_class.select(F.struct("*")).scalar()
-    return summary.select(
-        F.lit(model).alias("model"),
-        *[F.round(x, 4).alias(x) for x in ("macro_f1", "weighted_f1", "accuracy")],
-        F.array(*[F.lit(c) for c in classes]).alias("classes"),
-        cells.select(grid).scalar().alias("confusion_matrix"),
-        F.struct(
-            *[classes_part[f"_c{i}"].alias(c) for i, c in enumerate(classes)],
-            F.col("accuracy"),
-            *averages,
-        ).alias("classification_report"),
+    report_part = F.concat(
+        classes_part,
+        F.array(pair(F.lit("accuracy"), F.col("accuracy").cast("string")), *averages),
+    )
+    braces = lambda parts: F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+    headline = [
+        pair(F.lit(x), F.round(x, 4).cast("string")) for x in ("macro_f1", "weighted_f1", "accuracy")
+    ]
+    document = braces(
+        F.array(
+            pair(F.lit("model"), quoted(F.lit(model))),
+            *headline,
+            pair(F.lit("classes"), F.to_json("classes")),
+            pair(F.lit("confusion_matrix"), F.to_json(grid)),
+            pair(F.lit("classification_report"), braces(report_part)),
+        )
     )
+    return both.select(document.alias("document"))

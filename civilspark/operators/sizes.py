@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 100_000
 # Of the rows written as text; well under the memory of any executor.
 MAX_BROADCAST_BYTES = 64 << 20
+SLOTS = 1 << 20  # of hashed keys; that many numbers are broadcast at most
 
 
 def broadcast_if_small(
@@ -34,3 +35,49 @@ def broadcast_if_small(
     if len(rows) > max_rows or sum(len(str(tuple(r))) for r in rows) > max_bytes:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def likely_in(df: DataFrame, key: str, wanted: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among those of ``wanted``: all that are, few others.
+
+    Keys are hashed to ``slots`` numbers, which are broadcast, so no row is moved.  For
+    use ahead of a costly projection whose result is joined to ``wanted`` afterwards.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(slots))
+    there = wanted.select(slot.alias("_slot")).distinct()
+    return df.join(F.broadcast(there), slot == F.col("_slot"), "left_semi")
+
+
+def lookup(
+    df: DataFrame,
+    table: DataFrame,
+    key: str,
+    rank: str,
+    max_rows: int = MAX_BROADCAST_ROWS,
+    salts: int = 1 << 16,
+) -> DataFrame:
+    """Left join of ``df`` with ``table`` on ``key``, whatever the size of the table.
+
+    A small table is broadcast.  Of a larger one, which has unique keys, the rows with
+    ``rank`` below ``max_rows`` are: with ranks by falling frequency these hold the hot
+    keys.  What they do not answer meets the rest of the table in a shuffle; rows that are
+    answered are dealt evenly meanwhile.
+    """
+    if table.limit(max_rows + 1).count() <= max_rows:
+        return df.join(F.broadcast(table), key, "left")
+    value = next(c for c in table.columns if c != key)
+    hot = table.where(F.col(rank) < max_rows)
+    hot = hot.select(F.col(key).alias("_hot_key"), F.struct(value).alias("_hot"))
+    rest = table.where(F.col(rank) >= max_rows).select(
+        F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.struct(value).alias("_rest")
+    )
+    found = df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    # Nothing in the table has a salt above 0.
+    dealt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)) + 1
+    answered = F.col("_hot").isNotNull() | F.col(key).isNull()
+    found = found.withColumn("_own_salt", F.when(answered, dealt).otherwise(F.lit(0)).cast("int"))
+    same = (F.col(key) == F.col("_key")) & (F.col("_own_salt") == F.col("_salt"))
+    joined = found.join(rest, same, "left")
+    return joined.select(
+        key, *[c for c in df.columns if c != key], F.coalesce("_hot", "_rest")[value].alias(value)
+    )

@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from civilspark import fixed_values as fixed
 from civilspark.functions.tokens import word_tokens
-from civilspark.operators.sizes import broadcast_if_small
+from civilspark.operators.ranking import first_rows
+from civilspark.operators.sizes import broadcast_if_small, lookup
+from civilspark.session import materialise
 
 # Token positions per document fit in 31 bits, as array sizes do.
 _POSITIONS = 2**31
@@ -33,15 +36,22 @@ def build_vocabulary(
 ) -> DataFrame:
     """``(token, idx, freq)``: most frequent first, ties in order of first sight.
 
-    First sight is the pair (id, position), packed into one decimal so that the
-    aggregation stays a hash aggregation with map-side combining.  Only the top
-    ``max_vocab_size - 2`` rows reach the ranking window.
+    First sight is the pair (id, position); ids may have any type with an order.  Whole
+    numbers are packed with the position into one decimal, which keeps the aggregation a
+    hash aggregation with map-side combining.  A row without an id comes first.
+
+    The counts are written once.  The histogram of frequencies says which frequency the
+    size cuts; more frequent tokens are all in, and of those with that frequency the first
+    seen, found by range (``ranking.first_rows``).  So no task gets more than the result.
     """
     spark = df.sparkSession
-    seen = (
-        F.col("_id").cast("decimal(20,0)") * F.lit(_POSITIONS).cast("decimal(10,0)")
-        + F.col("_pos")
-    ).cast("decimal(38,0)")
+    if isinstance(df.schema[id_col].dataType, IntegralType):
+        seen = (
+            F.col("_id").cast("decimal(20,0)") * F.lit(_POSITIONS).cast("decimal(10,0)")
+            + F.col("_pos")
+        ).cast("decimal(38,0)")
+    else:
+        seen = F.struct("_id", "_pos")
     counted = (
         df.select(
             F.col(id_col).alias("_id"),
@@ -52,8 +62,20 @@ def build_vocabulary(
         .agg(F.count(F.lit(1)).alias("freq"), F.min("_seen").alias("_seen"))
         .where(F.col("freq") >= min_freq)
     )
-    order = [F.desc("freq"), F.asc("_seen")]
-    top = counted.orderBy(*order).limit(max(max_vocab_size - 2, 0))
+    counted = materialise(counted, "token-counts")
+    wanted = max(max_vocab_size - 2, 0)
+    histogram = counted.groupBy("freq").agg(F.count(F.lit(1)).alias("tokens"))
+    ahead = F.sum("tokens").over(Window.orderBy(F.desc("freq")))  # one row per frequency
+    cut = histogram.withColumn("ahead", ahead).where(F.col("ahead") > wanted)
+    cut = cut.orderBy(F.desc("freq")).first()
+    top = counted
+    if cut is not None:
+        tied = counted.where(F.col("freq") == cut.freq)
+        left = wanted - (cut.ahead - cut.tokens)
+        top = counted.where(F.col("freq") > cut.freq).unionByName(
+            first_rows(tied, ["_seen", "token"], left, cut.tokens)
+        )
+    order = [F.desc("freq"), F.asc("_seen"), F.asc("token")]
     ranked = top.select(
         "token",
         (F.row_number().over(Window.orderBy(*order)) + fixed.UNK_INDEX).alias("idx"),
@@ -66,7 +88,7 @@ def build_vocabulary(
         ],
         "token string, idx int, freq long",
     )
-    return reserved.unionByName(ranked)
+    return materialise(reserved.unionByName(ranked), "vocabulary")
 
 
 def _regroup(rows: DataFrame, ids: Sequence[str], value: str) -> DataFrame:
@@ -94,11 +116,10 @@ def encode(
     most that many rows.
     """
     tokens = F.slice(word_tokens(F.col(text_col)), 1, max_length)
-    known = broadcast_if_small(vocabulary.select("token", "idx"))
-    rows = (
-        df.select(*ids, F.posexplode_outer(tokens).alias("_pos", "token"))
-        .join(known, "token", "left")
-        .withColumn("_idx", F.coalesce("idx", F.lit(fixed.UNK_INDEX)))
+    tokens_of = df.select(*ids, F.posexplode_outer(tokens).alias("_pos", "token"))
+    # The first tokens of a vocabulary are the frequent ones.
+    rows = lookup(tokens_of, vocabulary.select("token", "idx"), "token", "idx").withColumn(
+        "_idx", F.coalesce("idx", F.lit(fixed.UNK_INDEX))
     )
     padding = F.array_repeat(
         F.lit(fixed.PAD_INDEX), F.lit(max_length) - F.size("_values")
@@ -112,10 +133,8 @@ def decode(
     df: DataFrame, ids: Sequence[str], vocabulary: DataFrame, ids_col: str = "token_ids"
 ) -> DataFrame:
     """``ids`` plus ``tokens``: the reverse lookup of ``encode``."""
-    known = broadcast_if_small(vocabulary.select("idx", "token"))
-    rows = df.select(*ids, F.posexplode_outer(ids_col).alias("_pos", "idx")).join(
-        known, "idx", "left"
-    )
+    rows = df.select(*ids, F.posexplode_outer(ids_col).alias("_pos", "idx"))
+    rows = lookup(rows, vocabulary.select("idx", "token"), "idx", "idx")
     return _regroup(rows, ids, "token").select(*ids, F.col("_values").alias("tokens"))
 
 

@@ -421,6 +421,20 @@ WHERE copy = 1 AND lang IS NOT NULL GROUP BY lang""",
     "stratified_split": f"WITH {SPLIT_CTES} SELECT doc_id, lang, split FROM split",
     "split_summary": f"""WITH {SPLIT_CTES} SELECT split, count(*) AS n,
   round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS pct FROM split GROUP BY split""",
+    "csv_roundtrip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "split_roundtrip": f"""WITH {SPLIT_CTES}
+SELECT d.doc_id, text, d.lang, source, n_chars, split FROM documents d JOIN split USING (doc_id)""",
+    "report_roundtrip": with_scores(REPORT),
+    "vocab_roundtrip": f"WITH {vocabulary_ctes(str(VOCAB_QUERY_SIZE))} SELECT token, idx FROM vocab",
+    "non_string_text": """SELECT doc_id, CASE WHEN lang = 'en' THEN n_chars::VARCHAR ELSE '' END AS cleaned
+FROM documents""",
+    "blank_guard": f"""SELECT doc_id, regexp_replace(text, '[^\\x20\\x09-\\x0D]', '', 'g') AS original_text, '' AS cleaned_text,
+  false AS is_toxic, 0.0::DOUBLE AS overall_score, 'Clean' AS primary_category, {q(fixed.SEVERITY_CLEAN)} AS severity_level,
+  0.0::DOUBLE AS best, {len(fixed.LABELS)} AS labels, 0 AS flagged, 0 AS highlights FROM documents""",
+    "saved_model_eval": f"""WITH {SPLIT_CTES}
+SELECT count(*) FILTER (split = 'test') AS test_rows, count(*) FILTER (split = 'test') AS agreeing,
+  (SELECT string_agg(DISTINCT lang, ',' ORDER BY lang) FROM split) AS classes,
+  count(*) FILTER (split = 'test') AS support FROM split""",
     "lines_to_rows": f"SELECT doc_id, line_no, x AS comment FROM {LINES}",
     "detect_text_column": """SELECT conv_id, turn, text AS comment FROM conversations
 WHERE text IS NOT NULL""",
@@ -540,7 +554,24 @@ SELECT doc_id, actual AS expected, pred AS predicted FROM pairs""",
     "confusion_matrix": with_matrix("SELECT actual, pred, n FROM matrix"),
     "confusion_wide": with_matrix(
         """SELECT 'Actual_' || actual AS class, sum(n) FILTER (pred = 'clean')::BIGINT AS Pred_clean,
+  sum(n) FILTER (pred = 'toxic')::BIGINT AS Pred_toxic, 0 AS "Pred_(other)" FROM matrix GROUP BY actual
+UNION ALL SELECT 'Actual_(other)', 0, 0, 0"""
+    ),
+    "matrix_roundtrip": with_matrix(
+        """SELECT 'Actual_' || actual AS class, sum(n) FILTER (pred = 'clean')::BIGINT AS Pred_clean,
   sum(n) FILTER (pred = 'toxic')::BIGINT AS Pred_toxic FROM matrix GROUP BY actual"""
+    ),
+    "metrics_document": with_matrix(
+        f"""SELECT 'lexicon' AS model, round(macro_f1, 4) AS macro_f1, round(weighted_f1, 4) AS weighted_f1,
+  round(accuracy, 4) AS accuracy, '["clean","toxic"]' AS classes,
+  (SELECT '[[' || string_agg(n, ',' ORDER BY pred) FILTER (actual = 'clean') || '],['
+     || string_agg(n, ',' ORDER BY pred) FILTER (actual = 'toxic') || ']]' FROM matrix) AS confusion_matrix,
+  {", ".join(f"(SELECT round({x}, 6)::DOUBLE FROM report WHERE label = '{c}') AS {c}_{y}"
+             for c in ("clean", "toxic")
+             for x, y in (("precision", "precision"), ("recall", "recall"), ("f1", "f1_score"), ("support", "support")))},
+  round(accuracy, 6) AS report_accuracy, round(macro_f1, 6) AS macro_avg_f1,
+  (SELECT sum(support)::DOUBLE FROM report) AS weighted_avg_support
+FROM (SELECT {HEADLINE})"""
     ),
     "class_report": with_matrix(
         """SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall,

@@ -21,9 +21,10 @@ from civilspark.operators import (
     scoring,
     vocabulary,
 )
+from civilspark.operators.sizes import likely_in
 from civilspark.plans import jobs
-from civilspark.session import read_table, shared_folder
-from civilspark.sources import readers
+from civilspark.session import materialise, read_table, shared_folder
+from civilspark.sources import readers, split_csv, writers
 from civilspark.streaming import comments as streaming
 
 VOCAB_QUERY_SIZE = 20000
@@ -98,9 +99,50 @@ def detect_text_column(spark, folder):
     )
 
 
+def csv_roundtrip(spark, folder):
+    """Documents as CSV files, read back by several tasks per file."""
+    docs, path = documents(spark, folder), shared_folder(spark, "documents-csv")
+    writers.write_report(docs, path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    return split_csv.read_csv_in_parts(spark, path, schema)
+
+
+def split_roundtrip(spark, folder):
+    """Whole rows of the dataset, written by split and read back split by split."""
+    docs, path = documents(spark, folder), shared_folder(spark, "splits")
+    split = materialise(jobs.prepare_dataset(docs, "text", "lang", "doc_id"), "split")
+    writers.write_splits(jobs.attach_split(docs, split, "doc_id"), path)
+    parts = [
+        writers.read_split(spark, path, name).withColumn("split", F.lit(name))
+        for name in ("train", "val", "test")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def report_roundtrip(spark, folder):
+    """The flat report as CSV files, read back."""
+    report, path = batch_report(spark, folder), shared_folder(spark, "report")
+    writers.write_report(report, path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in report.schema)
+    return split_csv.read_csv_in_parts(spark, path, schema)
+
+
+def vocab_roundtrip(spark, folder):
+    """The vocabulary as one JSON document, read back."""
+    path = shared_folder(spark, "vocabulary")
+    writers.write_vocabulary_document(vocab_topk(spark, folder), path)
+    return writers.read_vocabulary_document(spark, path)
+
+
 # ---- normalisation ---------------------------------------------------------
 
 
+def non_string_text(spark, folder):
+    """Numbers as texts; missing ones normalise to the empty string."""
+    number = F.when(F.col("lang") == "en", F.col("n_chars"))
+    return documents(spark, folder).select("doc_id", T.clean_text(number).alias("cleaned"))
+
+
 def _page_text() -> Column:
     return F.concat_ws(" ", "url", "html")
 
@@ -299,6 +341,27 @@ def threshold_sweep(spark, folder):
     return scoring.threshold_sweep(_predictions(spark, folder))
 
 
+def blank_guard(spark, folder):
+    """Records of blank comments: what is left of a document without its words."""
+    blanks = documents(spark, folder).select(
+        "doc_id", F.regexp_replace("text", r"[^\x20\x09-\x0D]", "").alias("blanks")
+    )
+    records = scoring.predict(blanks, "blanks", keep=["doc_id"])
+    return records.select(
+        "doc_id",
+        "original_text",
+        "cleaned_text",
+        "is_toxic",
+        "overall_score",
+        "primary_category",
+        "severity_level",
+        F.array_max(F.transform("scores", lambda s: s["score"])).alias("best"),
+        F.size("scores").alias("labels"),
+        F.size("flagged_categories").alias("flagged"),
+        F.size("token_highlights").alias("highlights"),
+    )
+
+
 def prediction_record(spark, folder):
     """Full records of lines as comments, nested fields as text."""
     records = scoring.predict(
@@ -419,14 +482,20 @@ def category_metadata(spark, folder):
 
 
 def _judged_labels(spark, folder, threshold: float = fixed.THRESHOLD) -> DataFrame:
-    """Labelled documents: expected flag, predicted flag, probability.
+    """Labelled documents: expected flag, predicted flag, probability, best score.
 
-    Documents are reduced to id and verdict before they meet the labels.
+    Documents without a label are left out before they are scored, and the others are
+    reduced to id and verdict before they meet the labels.
     """
-    verdicts = _predictions(spark, folder, threshold=threshold).select(
-        "doc_id", "is_toxic", S.score_of(F.col("scores"), "toxic").alias("p_toxic")
-    )
     labels = read_table(spark, folder, "labels").select("doc_id", "toxic")
+    scored = scoring.predict_batch(
+        likely_in(documents(spark, folder), "doc_id", labels),
+        "text",
+        keep=["doc_id"],
+        threshold=threshold,
+    )
+    p_toxic = S.score_of(F.col("scores"), "toxic").alias("p_toxic")
+    verdicts = scored.select("doc_id", "is_toxic", p_toxic, "overall_score")
 
     def name(flag: Column) -> Column:
         return F.when(flag, "toxic").otherwise("clean")
@@ -436,6 +505,7 @@ def _judged_labels(spark, folder, threshold: float = fixed.THRESHOLD) -> DataFra
         name(F.col("toxic") == 1).alias("actual"),
         name(F.col("is_toxic")).alias("pred"),
         "p_toxic",
+        "overall_score",
     )
 
 
@@ -462,6 +532,42 @@ def confusion_wide(spark, folder):
     return metrics.confusion_wide(_matrix(spark, folder), TOXIC_CLASSES)
 
 
+def matrix_roundtrip(spark, folder):
+    """The labelled matrix as a CSV file, read back."""
+    path = shared_folder(spark, "matrix")
+    writers.write_confusion_matrix(_matrix(spark, folder), TOXIC_CLASSES, path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(
+        F.col(back.columns[0]).alias("class"),
+        *[F.col(f"Pred_{c}").cast("long").alias(f"Pred_{c}") for c in TOXIC_CLASSES],
+    )
+
+
+def metrics_document(spark, folder):
+    """The metrics document as a JSON file, read back and taken apart."""
+    path = shared_folder(spark, "metrics")
+    matrix = materialise(_matrix(spark, folder), "cells")
+    writers.write_metrics(metrics.metrics_document(matrix, TOXIC_CLASSES, "lexicon"), path)
+    document = writers.read_metrics(spark, path)
+    at = lambda place: F.get_json_object("document", place)
+    number = lambda place: F.round(at(place).cast("double"), 6)
+    report = "$['classification_report']"
+    return document.select(
+        at("$.model").alias("model"),
+        *[at(f"$.{x}").cast("double").alias(x) for x in ("macro_f1", "weighted_f1", "accuracy")],
+        at("$.classes").alias("classes"),
+        at("$.confusion_matrix").alias("confusion_matrix"),
+        *[
+            number(f"{report}['{c}']['{x}']").alias(f"{c}_{x}".replace("-", "_"))
+            for c in TOXIC_CLASSES
+            for x in ("precision", "recall", "f1-score", "support")
+        ],
+        number(f"{report}['accuracy']").alias("report_accuracy"),
+        number(f"{report}['macro avg']['f1-score']").alias("macro_avg_f1"),
+        number(f"{report}['weighted avg']['support']").alias("weighted_avg_support"),
+    )
+
+
 def class_report(spark, folder):
     report = metrics.class_report(_matrix(spark, folder))
     return report.select(
@@ -489,10 +595,17 @@ def log_loss(spark, folder):
 
 
 def model_compare(spark, folder):
-    summaries = {
-        f"lexicon at {t}": metrics.summary_metrics(_matrix(spark, folder, threshold=t))
+    """Thresholds as models: documents are scored once, all matrices counted together."""
+    verdict = {
+        f"lexicon at {t}": F.when(F.col("overall_score") >= t, "toxic").otherwise("clean")
         for t in (0.5, 0.9)
     }
+    cells = metrics.confusion_matrices(_judged_labels(spark, folder), TOXIC_CLASSES, verdict)
+    cells = materialise(cells, "matrices")
+    summaries = {
+        model: metrics.summary_metrics(cells.where(F.col("model") == model).drop("model"))
+        for model in verdict
+    }
     out = metrics.compare_models(summaries, "lexicon at 0.5")
     return out.select(
         "model", *[F.round(c, 6).alias(c) for c in out.columns if c != "model"]
@@ -532,6 +645,23 @@ def class_probabilities(spark, folder):
     )
 
 
+def saved_model_eval(spark, folder):
+    """A model is fitted, saved, loaded and evaluated: test rows and what it agrees on."""
+    path = shared_folder(spark, "model")
+    texts = _texts(spark, folder)
+    fitted = jobs.train_linear(texts, "lang")
+    writers.save_model(fitted.model, path)
+    test = texts.where(F.col("split") == "test").drop("split")
+    loaded = jobs.evaluate_model(writers.load_model(path), test, "lang")
+    before = fitted.predictions.select("doc_id", F.col("pred").alias("pred_before"))
+    both = loaded.predictions.join(before, "doc_id")
+    return both.agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        F.count_if(F.col("pred") == F.col("pred_before")).alias("agreeing"),
+        F.lit(",".join(loaded.classes)).alias("classes"),
+    ).crossJoin(loaded.summary.select("support"))
+
+
 def w2v_mlp_eval(spark, folder):
     return _rounded_summary(
         jobs.train_pooled_embedding(_texts(spark, folder), "lang", "doc_id"),
@@ -627,6 +757,15 @@ QUERIES = {
         stratified_split,
         split_summary,
         lines_to_rows,
+        csv_roundtrip,
+        split_roundtrip,
+        report_roundtrip,
+        vocab_roundtrip,
+        non_string_text,
+        blank_guard,
+        matrix_roundtrip,
+        metrics_document,
+        saved_model_eval,
         detect_text_column,
         url_mention_mask,
         mention_mask,

@@ -8,7 +8,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civilspark.operators.metrics import confusion_wide
+from civilspark import fixed_values as fixed
+from civilspark.operators.metrics import OTHER, confusion_wide
+from civilspark.session import materialise
 
 _CSV = {
     "header": True,
@@ -53,15 +55,30 @@ def write_report(
 
 
 def write_metrics(document: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One nested row as one JSON document."""
-    document.coalesce(1).write.mode(mode).json(path)
+    """The one row of ``metrics.metrics_document`` as one JSON file."""
+    document.coalesce(1).write.mode(mode).text(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(
+        F.regexp_replace("value", "\n$", "").alias("document")
+    )
 
 
 def write_confusion_matrix(
     matrix: DataFrame, classes: Sequence[str], path: str, mode: str = "errorifexists"
 ) -> None:
-    """Labelled matrix: blank first heading, ``Pred_*`` columns, ``Actual_*`` rows."""
-    wide = confusion_wide(matrix, classes).withColumnRenamed("class", " ")
+    """Labelled matrix: blank first heading, ``Pred_*`` columns, ``Actual_*`` rows.
+
+    The row and column of other classes are there only where rows have such classes.
+    """
+    wide = materialise(confusion_wide(matrix, classes), "matrix")
+    others = wide.agg(F.sum(f"`Pred_{OTHER}`") + F.sum(
+        F.when(F.col("class") == f"Actual_{OTHER}", sum(F.col(f"`Pred_{c}`") for c in classes)).otherwise(0)
+    )).first()[0]
+    if not others:
+        wide = wide.where(F.col("class") != f"Actual_{OTHER}").drop(f"Pred_{OTHER}")
+    wide = wide.withColumnRenamed("class", " ")
     wide.coalesce(1).write.mode(mode).option("header", True).csv(path)
 
 
@@ -75,6 +92,32 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_vocabulary_document(
+    vocabulary: DataFrame, path: str, mode: str = "errorifexists"
+) -> None:
+    """The vocabulary, which has a bounded size, as one JSON object without frequencies."""
+    in_order = F.array_sort(F.collect_list(F.struct("idx", "token")))
+    entries = F.transform(in_order, lambda e: F.struct(e["token"], e["idx"]))
+    document = vocabulary.agg(
+        F.to_json(
+            F.struct(
+                F.map_from_entries(entries).alias("word2idx"),
+                F.lit(fixed.PAD_TOKEN).alias("pad_token"),
+                F.lit(fixed.UNK_TOKEN).alias("unk_token"),
+            )
+        ).alias("document")
+    )
+    document.write.mode(mode).text(path)
+
+
+def read_vocabulary_document(spark: SparkSession, path: str) -> DataFrame:
+    """``(token, idx)`` of a vocabulary document; the reverse map follows from it."""
+    parsed = F.from_json("value", "struct<word2idx map<string, int>>")
+    return spark.read.text(path, wholetext=True).select(
+        F.explode(parsed["word2idx"]).alias("token", "idx")
+    )
+
+
 def save_model(model: PipelineModel, path: str, overwrite: bool = False) -> None:
     """Fitted pipeline; the class list travels inside its label stages."""
     writer = model.write()
