@@ -132,6 +132,11 @@ def _need(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
+def _need_as_shorter(n: Column, percent: int) -> Column:
+    """Least overlap of a set of n tokens with a similar one that is not smaller."""
+    return F.ceil(2 * n * percent / F.lit(100 + percent))
+
+
 def _overlap(n: Column, m: Column, percent: int) -> Column:
     """Least overlap of two sets of n and m tokens with the similarity."""
     return F.ceil((n + m) * percent / F.lit(100 + percent))
@@ -265,23 +270,38 @@ def _contested(postings: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(placed.drop("component").join(spread, "token"), "contested")
 
 
-def _families(active: DataFrame) -> DataFrame:
-    """``(x, y)``: each contested token's documents ``y``, itself included, with a central one, ``x``.
+def _families(active: DataFrame, percent: int) -> DataFrame:
+    """``(x, y)``: documents ``y`` that may be near the central document ``x`` of a token.
 
     Central is who has the fewest tokens that nobody shares, for the size of its prefix:
     among near copies, one with few changes, the same for nearly all of their tokens.
+    A document goes with the one that it shares most tokens with, if these are half of
+    what a link needs.  The family is a matter of cost; any choice gives the same links.
     """
     shared = F.count(F.lit(1)) / F.col("n")
     alone = active.groupBy("doc", "n").agg((-shared).alias("alone")).drop("n")
     alone = alone.groupBy(F.col("doc").alias("_doc")).agg(F.min("alone").alias("alone"))
     placed = active.join(alone, F.col("doc") == F.col("_doc"))
-    pivots = placed.groupBy("token").agg(F.min(F.struct("alone", "doc")).alias("p"))
-    pairs = active.join(pivots, "token").select(F.col("p.doc").alias("x"), F.col("doc").alias("y"))
-    return pairs.distinct()
+    one = F.struct("alone", "doc", "n", "ell")
+    pivots = placed.groupBy("token").agg(F.min(one).alias("p"))
+    pairs = active.join(pivots, "token").select(
+        F.col("p.doc").alias("x"),
+        F.col("doc").alias("y"),
+        F.col("p.n").alias("n_x"),
+        F.col("n").alias("n_y"),
+        F.col("p.ell").alias("ell_x"),
+        F.col("ell").alias("ell_y"),
+    )
+    pairs = pairs.groupBy("x", "y", "n_x", "n_y", "ell_x", "ell_y").agg(
+        F.count(F.lit(1)).alias("shared")
+    )
+    pairs = pairs.where(_promising("x", "y", F.col("shared") * 2, percent))
+    best = F.max(F.struct("shared", F.col("x") == F.col("y"), "x")).alias("b")
+    return pairs.groupBy("y").agg(best).select(F.col("b.x").alias("x"), "y")
 
 
-def _differences(families: DataFrame) -> DataFrame:
-    """``(pivot, doc, node, n, n_pivot, tokens)``: what only one of member and pivot has.
+def _differences(families: DataFrame, percent: int) -> DataFrame:
+    """``(pivot, doc, node, n, tokens)`` of near members: what only one of both has.
 
     ``pivot`` and ``node`` are digests of the sets, since an id may have several texts.
     """
@@ -291,8 +311,10 @@ def _differences(families: DataFrame) -> DataFrame:
             rows = []
             for doc, old, new in zip(batch["y"], batch["tokens_x"], batch["tokens_y"]):
                 tokens = np.setxor1d(old, new, assume_unique=True)
-                rows.append((digest(old), doc, digest(new), len(new), len(old), tokens))
-            yield pd.DataFrame(rows, columns=["pivot", "doc", "node", "n", "n_pivot", "tokens"])
+                if len(tokens) * (100 + percent) > 2 * (len(old) + len(new)) * (100 - percent):
+                    continue  # not near
+                rows.append((digest(old), doc, digest(new), len(new), tokens))
+            yield pd.DataFrame(rows, columns=["pivot", "doc", "node", "n", "tokens"])
 
     def digest(tokens):
         return hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest()
@@ -300,14 +322,14 @@ def _differences(families: DataFrame) -> DataFrame:
     kind = families.schema["x"].dataType.simpleString()
     return families.select("y", "tokens_x", "tokens_y").mapInPandas(
         differences,
-        f"pivot binary, doc {kind}, node binary, n bigint, n_pivot bigint, tokens array<bigint>",
+        f"pivot binary, doc {kind}, node binary, n bigint, tokens array<bigint>",
     )
 
 
 def _deltas(rows: DataFrame, percent: int) -> DataFrame:
     """How each member of a family differs from its centre, as far as links depend on it.
 
-    The centre is the pivot with all tokens changed in which most near members differ from
+    The centre is the pivot with all tokens changed in which most members differ from
     it; it need not be a document.  D(y) has the tokens that only one of y and the centre
     has.  Members y and z differ in |D(y)| + |D(z)| - 2 |D(y) & D(z)| tokens, and link if
     that is at most c = (100 - percent) / (100 + percent) of the sum of their sizes.
@@ -318,10 +340,8 @@ def _deltas(rows: DataFrame, percent: int) -> DataFrame:
     |D(z)| - c * (n(y) + n(z)) at least.  Hence any y has a token of the link among its
     first ``as_y`` in any common order of the tokens, and z among its first ``as_x``.
     """
-    total = F.col("n") + F.col("n_pivot")
-    close = rows.where(F.size("tokens") * (100 + percent) <= total * 2 * (100 - percent))
-    many = close.groupBy("pivot").agg(F.count(F.lit(1)).alias("many"))
-    common = close.select("pivot", F.explode("tokens").alias("token")).groupBy("pivot", "token")
+    many = rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("many"))
+    common = rows.select("pivot", F.explode("tokens").alias("token")).groupBy("pivot", "token")
     common = common.agg(F.count(F.lit(1)).alias("df")).join(many, "pivot")
     common = common.where(F.col("df") * 2 > F.col("many")).groupBy("pivot")
     common = materialise(common.agg(F.collect_list("token").alias("changed")), "centres")
@@ -421,6 +441,75 @@ def _with_enough_shared(pairs: DataFrame, postings: DataFrame, percent: int) ->
     return both.where(_promising("x", "y", shared, percent)).select("x", "y").distinct()
 
 
+def _cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Promising pairs of documents in different families and components."""
+    # A family whose members are all linked needs no comparison with its own component.
+    inside = placed.groupBy("family").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+    whole = F.when(F.col("least") == F.col("most"), F.col("least")).alias("whole")
+    whole = inside.select(F.col("family").alias("_family"), whole)
+    placed = placed.join(whole, F.col("family") == F.col("_family")).drop("_family")
+    sides = {}
+    shorter = F.col("pos") < F.col("n") - _need_as_shorter(F.col("n"), percent) + F.col("ell")
+    for name, rows in (("x", placed.where(shorter)), ("y", placed)):
+        sides[name] = rows.groupBy("token", F.col("family").alias(f"family_{name}")).agg(
+            F.min("n").alias(f"least_{name}"),
+            F.max("n").alias(f"most_{name}"),
+            F.min("ell").alias(f"ell_{name}"),
+            F.max("whole").alias(f"whole_{name}"),
+        )
+    apart = F.col("whole_x").isNull() | F.col("whole_y").isNull() | (F.col("whole_x") != F.col("whole_y"))
+    lx, ly, mx, my = (F.col(c) for c in ("least_x", "least_y", "most_x", "most_y"))
+    in_order = (lx < my) | ((lx == my) & (F.col("family_x") < F.col("family_y")))
+    behind = F.greatest(
+        _need_as_shorter(mx, percent) - F.col("ell_x"), _need(my, percent) - F.col("ell_y")
+    )
+    pairs = (
+        sides["x"]
+        .join(sides["y"], "token")
+        .where((F.col("family_x") != F.col("family_y")) & in_order & apart)
+        .where((mx * 100 >= ly * percent) & (my * 100 >= lx * percent))
+        .groupBy("family_x", "family_y")
+        .agg(
+            F.count(F.lit(1)).alias("shared"),
+            *[F.min(c).alias(c) for c in ("least_x", "least_y", "ell_x", "ell_y")],
+            *[F.max(c).alias(c) for c in ("most_x", "most_y")],
+        )
+        .where(
+            (F.col("shared") >= F.least("ell_x", "ell_y"))
+            & (F.col("shared") + behind >= _overlap(lx, ly, percent))
+        )
+        .select(
+            F.least("family_x", "family_y").alias("family_x"),
+            F.greatest("family_x", "family_y").alias("family_y"),
+        )
+        .distinct()
+    )
+    pairs = materialise(pairs, "family-pairs")
+
+    def members(name: str) -> DataFrame:
+        return placed.select(
+            F.col("token").alias(f"token_{name}"),
+            F.col("family").alias(f"family_{name}"),
+            F.col("comp").alias(f"comp_{name}"),
+            F.col("doc").alias(name),
+            F.col("n").alias(f"n_{name}"),
+            F.col("ell").alias(f"ell_{name}"),
+        )
+
+    taken = pairs.join(members("x"), "family_x").withColumnRenamed("token_x", "token")
+    taken = taken.join(
+        members("y").withColumnRenamed("token_y", "token"), ["family_y", "token"]
+    ).where("comp_x <> comp_y")
+    counted = (
+        taken.where(F.col("n_x") * 100 >= F.col("n_y") * percent)
+        .where(F.col("n_y") * 100 >= F.col("n_x") * percent)
+        .groupBy("x", "y", "n_x", "n_y", "ell_x", "ell_y")
+        .agg(F.count(F.lit(1)).alias("shared"))
+    )
+    counted = counted.where(_promising("x", "y", F.col("shared"), percent))
+    return counted.select("x", "y").distinct()
+
+
 def near_components(
     spark: SparkSession,
     documents: DataFrame,
@@ -478,16 +567,25 @@ def near_components(
         if not joined(_star_pairs(active, percent, seed)):
             break
         active = _contested(postings, found)
-    families = materialise(_families(active), "families")
-    if not families.isEmpty():
-        ends = families.select(F.col("x").alias("doc")).union(families.select("y"))
-        members = _with_sets(families, _token_sets(ends, docs, width))
-        differences = materialise(_differences(members), "differences")
-        deltas = materialise(_deltas(differences, percent), "family-deltas")
-        hub_links = deltas.where("linked").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-        found = components(found.toDF("a", "b").union(hub_links))
-        pairs = materialise(_delta_pairs(_placed(deltas, found), percent), "delta-pairs")
-        joined(_with_enough_shared(pairs, postings, percent))
+    families = materialise(_families(active, percent), "families")
+    ends = families.select(F.col("x").alias("doc")).union(families.select("y"))
+    members = _with_sets(families, _token_sets(ends, docs, width))
+    differences = materialise(_differences(members, percent), "differences")
+    deltas = materialise(_deltas(differences, percent), "family-deltas")
+    hub_links = deltas.where("linked").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    found = components(found.toDF("a", "b").union(hub_links))
+    inside = _with_enough_shared(_delta_pairs(_placed(deltas, found), percent), postings, percent)
+    # An id with several texts may be near two pivots or none; it is a family of its own.
+    whole = deltas.groupBy("doc").agg(
+        F.min("pivot").alias("family"), F.count(F.lit(1)).alias("texts")
+    )
+    several_texts = several.select(F.col("a").alias("doc")).distinct()
+    whole = whole.where("texts = 1").join(several_texts, "doc", "left_anti")
+    whole = whole.select(F.col("doc").alias("_doc"), F.hex("family").alias("_family"))
+    family = F.coalesce("_family", F.concat(F.lit("="), F.col("doc").cast("string")))
+    active = _contested(postings, found).join(whole, F.col("doc") == F.col("_doc"), "left")
+    active = materialise(active.withColumn("family", family).drop("_doc", "_family"), "contested")
+    joined(inside.union(_cross_pairs(active, percent)).distinct())
     placed = nodes.join(found, F.col("rep") == F.col("node"), "left").select(
         "sig", F.coalesce("component", "rep").alias("found")
     )
