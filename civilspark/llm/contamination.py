@@ -7,9 +7,12 @@ along the document and its words are compared one by one.  A document is contami
 if ``share`` percent of the words agree in some ``stretch`` consecutive words of the item (in the
 whole item if it is shorter).
 
-Words are maximal runs of letters and digits in lower case.  Items with fewer words
-than a mask spans use the part of the masks that fits; items without words are not
-searched.  Null and empty texts have no words.  Null ids pass through as null.  Rows
+The masks are chosen by a search that ends when every placement of the allowed
+substitutions leaves one of them whole, for items of 5, 10, 15 and 20 words and with them
+for all longer ones; so no overlap is lost.  Items below 5 words must agree as a whole.
+
+Words are maximal runs of letters and digits in lower case.  Items without words are not
+searched.  Of equally good alignments of an item, the first in the document is returned.  Null and empty texts have no words.  Null ids pass through as null.  Rows
 that repeat an id are one document with several texts, repeated items are several
 items.  An empty table on either side gives an empty result.  Only the named columns
 are used.
@@ -21,14 +24,18 @@ their hashed ids.
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civilspark.session import materialise
 
-# Positions each mask looks at, in a window of up to SPAN words.
-MASKS = ((0, 1, 3, 4, 6, 9), (0, 2, 3, 5, 8, 9), (0, 1, 2, 5, 7, 8))
-SPAN = 10
+# Weight of the masks and their longest span, by the least words of an item.  Items below
+# the first row are looked for as a whole.
+CLASSES = {5: (4, 5), 10: (5, 9), 15: (5, 9), 20: (6, 10)}
 STRETCH = 20
 SHARE = 80
 CHUNK = 4096  # windows that are taken apart at once
@@ -40,35 +47,89 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _keys(word, length: int) -> Column:
-    """Array of the masks' hashes of a window; ``word(p)`` is the hash at position p."""
-    return F.array(
-        *[
-            F.xxhash64(F.lit(number), F.lit(length), *[word(p) for p in mask if p < length])
-            for number, mask in enumerate(MASKS)
-        ]
-    )
+@cache
+def masks(words: int, substitutions: int, weight: int, span: int) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one fits beside any ``substitutions`` in ``words`` consecutive words.
+
+    Masks look at ``weight`` positions of ``span`` words at most and may lie anywhere in the
+    stretch.  The one that catches most of the remaining placements is taken until none is
+    left, widest first, so nothing is lost.
+    """
+    places = [sum(1 << i for i in c) for c in combinations(range(words), substitutions)]
+    left = np.array(places, np.int64)
+    options = []
+    for width in range(span, weight - 1, -1):
+        for inner in combinations(range(1, width - 1), weight - 2):
+            options.append((0, *inner, width - 1))
+
+    def missed(mask):
+        bits = sum(1 << i for i in mask)
+        caught = np.zeros(len(left), bool)
+        for at in range(words - mask[-1]):
+            caught |= (left & (bits << at)) == 0
+        return ~caught
+
+    chosen = []
+    while len(left):
+        best = min(options, key=lambda mask: missed(mask).sum())
+        chosen.append(best)
+        rest = missed(best)
+        if rest.all():
+            raise ValueError("no mask of this weight fits")
+        left = left[rest]
+    return tuple(chosen)
+
+
+def item_class(n: int, share: int = SHARE) -> tuple[int, tuple[tuple[int, ...], ...]]:
+    """Least words of the class of an item of ``n`` words, and the masks of the class.
+
+    A class holds the items that allow as many substitutions as its least one.
+    """
+    least = max((k for k in CLASSES if k <= n), default=n)
+    weight, span = CLASSES.get(least, (n, n))
+    allowed = least * (100 - share) // 100
+    if least not in CLASSES or weight > least - allowed:
+        # All of a short item, or as much as is left of it in one piece.
+        weight = max(1, least // (allowed + 1))
+        span = weight
+    return least, masks(least, allowed, weight, span) if weight > 1 else ((0,),)
 
 
-def _windows(table: DataFrame, key: str, length: int) -> DataFrame:
-    """``(key, n_words, at, seed)`` of every window of ``length`` words and every mask."""
-    starts = F.when(
-        F.size("h") >= length,
-        F.sequence(F.lit(0), F.size("h") - length, F.lit(CHUNK)),
-    )
-    chunks = table.select(key, "h", F.explode(starts).alias("begin")).select(
+def _windows(table: DataFrame, key: str, wanted: dict, of_class: bool) -> DataFrame:
+    """``(key, n_words, at, seed)`` of the masks of every class, at every place they fit.
+
+    With ``of_class``, rows have a ``class`` and use its masks only.  Texts leave in chunks
+    of ``CHUNK`` places, once for all masks.
+    """
+    span = 1 + max(mask[-1] for own in wanted.values() for mask in own)
+    starts = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(CHUNK)))
+    extra = ["class"] if of_class else []
+    chunks = table.select(key, "h", *extra, F.explode(starts).alias("begin")).select(
         key,
+        *extra,
         F.size("h").alias("n_words"),
         "begin",
-        F.slice("h", F.col("begin") + 1, CHUNK + length - 1).alias("c"),
+        F.least(F.lit(CHUNK), F.size("h") - F.col("begin")).alias("many"),
+        F.slice("h", F.col("begin") + 1, CHUNK + span - 1).alias("c"),
+    )
+    # The shorter columns are filled with nulls, where no mask fits.
+    columns = [F.slice("c", F.lit(p + 1), F.col("many")).alias(f"w{p}") for p in range(span)]
+    rows = chunks.select(key, *extra, "n_words", "begin", F.posexplode(F.arrays_zip(*columns)))
+
+    def seed(least: int, number: int, mask: tuple[int, ...]) -> Column:
+        fits = F.col("col")[f"w{mask[-1]}"].isNotNull()
+        if of_class:
+            fits &= F.col("class") == least
+        own = [F.col("col")[f"w{p}"] for p in mask]
+        return F.when(fits, F.xxhash64(F.lit(least), F.lit(number), *own))
+
+    seeds = F.array(
+        *[seed(least, k, mask) for least, own in wanted.items() for k, mask in enumerate(own)]
     )
-    many = F.size("c") - length + 1
-    columns = [F.slice("c", F.lit(p + 1), many).alias(f"w{p}") for p in range(length)]
-    rows = chunks.select(key, "n_words", "begin", F.posexplode(F.arrays_zip(*columns)))
-    seeds = _keys(lambda p: F.col("col")[f"w{p}"], length)
-    return rows.select(
+    rows = rows.select(
         key, "n_words", (F.col("begin") + F.col("pos")).alias("at"), F.explode(seeds).alias("seed")
     )
+    return rows.where("seed is not null")
 
 
 def _hashed(table: DataFrame, key: str, text: str, name: str) -> DataFrame:
@@ -94,20 +155,21 @@ def overlaps(
     """
     known = _hashed(items, item_id, item_text, "item_id").where(F.size("h") > 0)
     known = known.withColumnRenamed("h", "item")
-    lengths = [
-        r.n
-        for r in known.select(F.least(F.size("item"), F.lit(SPAN)).alias("n")).distinct().collect()
-    ]  # SPAN values at most
     texts = _hashed(docs, doc_id, text, "doc_id")
+    sizes = known.select(F.least(F.size("item"), F.lit(max(CLASSES))).alias("n")).distinct()
+    found_classes = {r.n: item_class(r.n, share) for r in sizes.collect()}  # 20 sizes at most
+    wanted = {least: own for least, own in sorted(found_classes.values())}
     hits = None
-    for length in sorted(lengths):
-        same = known.where(F.least(F.size("item"), F.lit(SPAN)) == length)
-        seeds = _windows(same.withColumnRenamed("item", "h"), "item_id", length)
+    if wanted:
+        least = F.create_map(*[F.lit(x) for n, (k, _) in found_classes.items() for x in (n, k)])
+        size = F.least(F.size("item"), F.lit(max(CLASSES)))
+        same = known.select("item_id", F.col("item").alias("h"), least[size].alias("class"))
+        seeds = _windows(same, "item_id", wanted, True)
         seeds = seeds.withColumnRenamed("at", "item_at").withColumnRenamed("seed", "item_seed")
         if seeds.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS:
             seeds = F.broadcast(seeds)
-        found = (
-            _windows(texts, "doc_id", length)
+        hits = (
+            _windows(texts, "doc_id", wanted, False)
             .drop("n_words")
             .join(seeds, F.col("seed") == F.col("item_seed"))
             .select(
@@ -115,7 +177,6 @@ def overlaps(
             )
             .distinct()
         )
-        hits = found if hits is None else hits.union(found)
     if hits is None:
         return docs.select(F.col(doc_id).alias("doc_id")).where(F.lit(False)).select(
             "doc_id",

@@ -1,5 +1,6 @@
 """Operators against brute force, with nulls, ties, repeats, odd columns and empty tables."""
 
+import itertools
 import random
 import re
 import zlib
@@ -532,3 +533,44 @@ def test_jaccard_of_neighbouring_groups(spark, seed, width, percent):
                 root[high] = low
     assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(i, find(i)) for i, _ in nodes}
     assert 1 < len({find(i) for i, _ in nodes}) < len(nodes)
+
+
+# ---- lossless masks --------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [*range(1, 20), 20, 23])
+def test_masks_catch_every_placement(n):
+    """Any substitutions that the share allows, in the item or in 20 words of it."""
+    least, masks = contamination.item_class(n)
+    assert least <= n and all(mask[-1] < least for mask in masks)
+    stretch = min(n, contamination.STRETCH)
+    allowed = stretch * (100 - contamination.SHARE) // 100
+    assert least * (100 - contamination.SHARE) // 100 == allowed
+    for placement in itertools.combinations(range(stretch), allowed):
+        gone = set(placement)
+        assert any(
+            not gone & {at + p for p in mask} for mask in masks for at in range(stretch - mask[-1])
+        )
+
+
+def test_overlaps_with_substitutions_at_the_start(spark):
+    rng = random.Random(6)
+    fresh = iter(f"n{k}" for k in range(10_000))
+    items, docs, want = [], [], set()
+    for i, n in enumerate([3, 5, 7, 9, 10, 12, 15, 19, 20, 30, 60]):
+        item = [f"i{i}w{k}" for k in range(n)]
+        items.append((i, " ".join(item)))
+        allowed = min(n, 20) // 5
+        for j, places in enumerate(itertools.combinations(range(min(n, 6)), min(allowed, 6))):
+            words = list(item)
+            for at in places:
+                words[at] = next(fresh)
+            text = [next(fresh) for _ in range(rng.randrange(30))] + words + [next(fresh)]
+            docs.append((i * 100 + j, " ".join(text)))
+            want.add((i * 100 + j, i))
+        docs.append((i * 100 + 99, " ".join(item[: n * 3 // 5])))  # too little of it, unless it is long
+        if n >= 30:
+            want.add((i * 100 + 99, i))
+    found = contamination.overlaps(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} >= want
+    assert {(r.doc_id, r.item_id) for r in found.collect()} - want <= {(i * 100 + 99, i) for i in range(11)}
