@@ -200,3 +200,40 @@ def _checksum(edges: DataFrame) -> tuple:
 
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ... and the new name of each old one.
+
+    For operators that return the columns of their input beside their own: no name of the
+    input clashes then.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(reversed(docs.columns), reversed(names)))
+
+
+def sample_texts(rows: DataFrame, per_group: int, group: str, text: str) -> DataFrame:
+    """``(group, text)``: about ``per_group`` distinct texts of each group, by their hashes.
+
+    The ``per_group`` smallest hashes of a group's distinct texts are drawn, so copies weigh
+    nothing, every group has its texts, and the same rows give the same sample.  Only hashes
+    move until the drawn ones are known; of each, one text per task moves.
+    """
+    rows = rows.select(F.col(group).alias("group"), F.col(text).alias("text"))
+    rows = rows.where("group is not null and text is not null")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("group").agg(F.approx_count_distinct("h").alias("texts"))
+    # Twice what is wanted, in case the estimate is off; all of a small group.
+    share = F.when(F.col("texts") > 2 * per_group, 2.0 * per_group / F.col("texts"))
+    sizes = sizes.select(F.col("group").alias("_group"), F.coalesce(share, F.lit(2.0)).alias("share"))
+    spread = (F.pmod("h", F.lit(1 << 40)) / F.lit(1 << 40)).alias("at")
+    hashes = rows.select("group", "h", spread).join(
+        sizes, F.col("group") == F.col("_group")
+    ).where("at < share").select("group", "h", "at").distinct()
+    first = F.row_number().over(Window.partitionBy("group").orderBy("at", "h"))
+    drawn = hashes.withColumn("_nth", first).where(F.col("_nth") <= per_group)
+    drawn = materialise(drawn.select(F.col("group").alias("_group"), F.col("h").alias("_h")), "sample")
+    same = (F.col("group") == F.col("_group")) & (F.col("h") == F.col("_h"))
+    # At most per_group rows per group.
+    found = rows.join(F.broadcast(drawn), same, "left_semi")
+    return found.groupBy("group", "h").agg(F.min("text").alias("text")).select("group", "text")

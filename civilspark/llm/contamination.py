@@ -31,6 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civilspark.llm.common import plain_names
 from civilspark.session import materialise
 
 # Weight of the masks and their longest span, by the least words of an item.  Items below
@@ -242,4 +243,6 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options)
     """The rows of ``docs`` that hold no benchmark item; rows without id stay."""
     found = overlaps(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias("_id"))
     found = found.distinct().hint("shuffle_hash")
-    return docs.join(found, docs[doc_id] == F.col("_id"), "left_anti")
+    plain, name = plain_names(docs)
+    kept = plain.join(found, F.col(name[doc_id]) == F.col("_id"), "left_anti")
+    return kept.toDF(*docs.columns)

@@ -5,14 +5,15 @@ filter over a window and ends in a softmax.  It is trained here in numpy on labe
 windows and applied to whole texts, cut into windows of a fixed length: a text's
 log-probabilities are the mean over its windows, weighted by their bytes.
 
-Training windows are a bounded sample: about ``DOCS_PER_LANGUAGE`` documents for each
-language, up to ``WINDOWS_PER_DOC`` windows spread over each text.  The prediction
+Training windows are a bounded sample: ``DOCS_PER_LANGUAGE`` distinct texts of each
+language, those with the smallest hashes, up to ``WINDOWS_PER_DOC`` windows spread over each text.  The prediction
 looks at the text alone.
 
 Null texts, empty ones and texts without a letter get ``und`` and score 0.  Null labels
-are not learned from.  Null ids, repeated rows and other columns pass through.  With no
-labelled text there is nothing to learn and training raises ValueError; an empty table
-can be labelled with any model.
+are not learned from.  Null ids, repeated rows and other columns pass through.  Very long texts
+are predicted window by window.  Of equally likely languages the first by name is taken.
+With no labelled text nothing is learned and every text is ``und``; an empty table can be
+labelled with any model.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civilspark.llm.common import sample_texts
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -151,7 +154,7 @@ class ByteNet:
         return np.concatenate(out) if out else np.empty((0, len(self.languages)))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not has_letter(text):
+        if not has_letter(text) or not self.languages:
             return UNDETERMINED, 0.0
         windows, weights = windows_of(text)
         mean = (self.log_probabilities(windows) * weights[:, None]).sum(0) / weights.sum()
@@ -171,6 +174,8 @@ def train(
     """Adam on batches of windows, every language drawn equally often."""
     rng = np.random.default_rng(seed)
     net = ByteNet.fresh(languages, seed)
+    if not languages:
+        return net
     by_language = [np.flatnonzero(targets == k) for k in range(len(languages))]
     parameters = net.parameters()
     first, second = ([np.zeros_like(p) for p in parameters] for _ in range(2))
@@ -188,19 +193,12 @@ def train(
 def training_windows(
     labelled: DataFrame, text: str, label: str, per_language: int = DOCS_PER_LANGUAGE
 ) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Bounded sample of windows of documents with a text and a label."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("lang")).where(
-        "text is not null and lang is not null"
-    )
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        raise ValueError("no labelled text to learn from")
-    shares = F.create_map(
-        *[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_language / n))]
-    )
-    # The text's own hash draws the sample, so copies are drawn together or not at all.
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    rows = rows.where(draw < shares[F.col("lang")])
+    """Windows of a bounded sample: ``per_language`` distinct texts of each label.
+
+    Without a labelled text the sample is empty.
+    """
+    rows = sample_texts(labelled, per_language, label, text)
+    rows = rows.select("text", F.col("group").alias("lang"))
 
     def cut(batches):
         for batch in batches:
@@ -215,12 +213,9 @@ def training_windows(
                 langs += [lang] * (len(picks) + 1)
             yield pd.DataFrame({"lang": langs, "window": data})
 
-    found = rows.mapInPandas(cut, "lang string, window binary")
-    found = found.limit(2 * per_language * (WINDOWS_PER_DOC + 1) * len(counts)).collect()
-    found.sort()
+    # per_language * (WINDOWS_PER_DOC + 1) windows a language at most
+    found = sorted(rows.mapInPandas(cut, "lang string, window binary").collect())
     languages = sorted({r.lang for r in found})
-    if not languages:
-        raise ValueError("no labelled text to learn from")
     windows = np.frombuffer(b"".join(r.window for r in found), np.uint8).reshape(-1, WINDOW)
     return windows, np.array([languages.index(r.lang) for r in found]), languages
 
@@ -236,8 +231,12 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def identify(docs: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score``; nothing is shuffled."""
+    """All columns of ``docs`` with ``lang_pred`` and ``score``; nothing is shuffled.
+
+    Columns of these names in ``docs`` are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    docs = docs.drop(*[c for c in ("lang_pred", "score") if c != text])
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index(text)]
 

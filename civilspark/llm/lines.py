@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civilspark.llm.common import plain_names
 from civilspark.llm.cuckoo import CuckooFilter, built
 from civilspark.session import materialise
 
@@ -214,6 +215,7 @@ def deduplicated(
 ) -> DataFrame:
     """All columns of ``docs`` with shortened text, and ``n_lines``, ``n_dropped``.
 
+    Columns of these names in ``docs`` are replaced.
     ``docs`` are documents that the index holds.  Texts move once, to the short list
     of keys that their document loses.
     """
@@ -225,10 +227,12 @@ def deduplicated(
         .hint("shuffle_hash")
     )
     min_chars = index.min_chars
-    joined = docs.join(drops, docs[doc_id] == F.col("_id"), "left").drop("_id")
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    docs = docs.drop(*[c for c in ("n_lines", "n_dropped") if c not in (doc_id, text)])
+    plain, name = plain_names(docs)
+    names = plain.columns
     at = docs.columns.index(text)
-    plain = joined.toDF(*names, "keys")
+    plain = plain.join(drops, F.col(name[doc_id]) == F.col("_id"), "left").drop("_id")
+    plain = plain.withColumnRenamed("_keys", "keys")
 
     def shorten(batches):
         for batch in batches:

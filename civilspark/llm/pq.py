@@ -245,28 +245,17 @@ def near_vectors(
     rows = table.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"))
     rows = materialise(_classes(rows), "vectors")
     usable = rows.where("vec is not null and vec_id is not null")
-    length = (
-        usable.groupBy(F.length("vec").alias("bytes"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "bytes")
-        .first()
-    )
-    alone = rows.select(
-        "vec_id",
-        F.lit(0).cast("bigint").alias("n_links"),
-        F.col("vec_id").alias("component_id"),
-        F.lit(True).alias("kept"),
-    )
-    if length is None:
-        return alone
-    usable = usable.where(F.length("vec") == length.bytes)
     classes = usable.groupBy("sig").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")
     )
     classes = materialise(classes, "classes")
-    found = materialise(
-        links(classes.select("id", "vec"), classes.count(), threshold, probes).distinct(), "links"
-    )
+    # Vectors of different lengths have no cosine: one search per length that has two.
+    lengths = classes.groupBy(F.length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n"))
+    found = spark.createDataFrame([], classes.select(F.col("id").alias("a"), F.col("id").alias("b")).schema)
+    for length in lengths.where("n > 1").orderBy("bytes").collect():
+        same = classes.where(F.length("vec") == length.bytes).select("id", "vec")
+        found = found.union(links(same, length.n, threshold, probes))
+    found = materialise(found.distinct(), "links")
     both = found.union(found.select("b", "a")).toDF("id", "other")
     sizes = classes.select(F.col("id").alias("other"), "copies")
     degrees = both.join(sizes, "other").groupBy("id").agg(F.sum("copies").alias("others"))

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civilspark.llm.common import gapless_rank, rank_parts, text_or_empty
+from civilspark.llm.common import gapless_rank, plain_names, rank_parts, text_or_empty
 from civilspark.session import materialise
 
 
@@ -154,9 +154,10 @@ def pack(
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> None:
     """Write whole documents below ``path/shard=N`` (ids must be unique)."""
     where = placed.select(F.col("doc_id").alias("_id"), "shard", "slot").hint("shuffle_hash")
-    docs.join(where, docs[doc_id] == F.col("_id")).drop("_id").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    docs = docs.drop(*[c for c in ("shard", "slot") if c != doc_id])
+    plain, name = plain_names(docs)
+    placed_docs = plain.join(where, F.col(name[doc_id]) == F.col("_id")).drop("_id")
+    placed_docs.toDF(*docs.columns, "shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 __all__ = ["best_fit_decreasing", "least_capacity", "pack", "sized", "write_shards"]

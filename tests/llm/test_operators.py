@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -20,7 +21,7 @@ from civilspark.llm import (
     secrets,
     shards,
 )
-from civilspark.llm.common import components, gapless_rank
+from civilspark.llm.common import components, gapless_rank, sample_texts
 from civilspark.llm.cuckoo import CuckooFilter, built
 from civilspark.session import materialise
 
@@ -389,8 +390,21 @@ def test_language_edges(spark, net):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1, 2, 3))
     assert got[None].lang_pred in net.languages and got[5].n == 7
     assert language.identify(table(spark, []), net).count() == 0
-    with pytest.raises(ValueError):
-        language.fit(spark.createDataFrame([(None, "en"), ("x", None)], "text string, lang string"))
+    nothing = language.fit(spark.createDataFrame([(None, "en"), ("x", None)], "text string, lang string"))
+    assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_hot_texts_leave_no_language_out(spark):
+    """Twenty languages of copies; a text that is a third of all rows."""
+    rows = [(f"{chr(97 + k) * 5} {k}", f"l{k}") for k in range(20) for _ in range(300)]
+    rows += [("hot text", "l0")] * 3000 + [(f"l1 text {i}", "l1") for i in range(3000)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    drawn = sample_texts(df, 100, "lang", "text").collect()
+    counts = Counter(r.group for r in drawn)
+    assert counts["l1"] == 100 and counts["l0"] == 2 and all(counts[f"l{k}"] == 1 for k in range(2, 20))
+    assert len(set(drawn)) == len(drawn)
+    assert sorted(sample_texts(df.repartition(7), 100, "lang", "text").collect()) == sorted(drawn)
+    assert language.training_windows(df, "text", "lang")[2] == sorted(f"l{k}" for k in range(20))
 
 
 # ---- 9 ---------------------------------------------------------------------
@@ -574,3 +588,29 @@ def test_overlaps_with_substitutions_at_the_start(spark):
     found = contamination.overlaps(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} >= want
     assert {(r.doc_id, r.item_id) for r in found.collect()} - want <= {(i * 100 + 99, i) for i in range(11)}
+
+
+def test_vectors_of_every_length(spark):
+    rng = np.random.default_rng(3)
+    one, two = rng.normal(size=8), rng.normal(size=5)
+    near = lambda v: (v + 0.01 * rng.normal(size=len(v))).tolist()
+    rows = [(i, near(one)) for i in range(6)] + [(10 + i, two.tolist()) for i in range(2)]
+    rows += [(20, near(two)), (30, [1.0]), (31, None), (32, [0.0] * 5)]
+    got = pq.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    found = {r.vec_id: (r.n_links, r.component_id) for r in got}
+    assert found == {i: (5, 0) for i in range(6)} | {i: (2, 10) for i in (10, 11, 20)} | {
+        i: (0, i) for i in (30, 31, 32)
+    }
+    assert pq.near_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_names_of_extra_columns(spark):
+    """Columns that the operators name themselves come through unchanged."""
+    names = ["_id", "_keys", "n_lines", "n_dropped", "lang_pred", "score", "keys", "c0"]
+    docs = spark.createDataFrame([(1, "a b c", *"x" * 8), (2, "d", *"y" * 8)], ["doc_id", "text", *names])
+    out = lines.deduplicated(lines.build(spark, docs), docs)
+    assert out.columns == ["doc_id", "text", *[n for n in names if not n.startswith("n_")], "n_lines", "n_dropped"]
+    assert {r._keys for r in out.collect()} == {"x", "y"}
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    (kept,) = contamination.clean(docs, items).collect()
+    assert kept.asDict() == {"doc_id": 2, "text": "d", **dict.fromkeys(names, "y")}

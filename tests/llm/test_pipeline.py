@@ -38,7 +38,17 @@ def test_stages(spark, small, tmp_path):
     assert packed.count() == docs.count()
 
 
-def test_empty_documents_after_the_first_stage(spark, small):
+def test_empty_documents(spark, small):
     docs = materialise(spark.createDataFrame([], SCHEMA), "empty-docs")
-    for _, stage in pipeline.STAGES[1:]:
+    for _, stage in pipeline.STAGES:
         assert stage(spark, docs, small).count() == 0
+
+
+def test_extra_columns(spark, small):
+    extra = ["_id", "_keys", "n_lines", "n_dropped", "lang_pred", "score", "c1", "hits", "family"]
+    rows = [(i, f"some words number {i} of a text", "en", "s", 1, *["x"] * len(extra)) for i in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} string" for n in extra))
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, small), "extra")
+        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")] + extra
+        assert docs.count() == 5 and {r.score for r in docs.collect()} == {"x"}
