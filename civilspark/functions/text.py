@@ -2,8 +2,8 @@
 
 Each step refers to its input once (``let`` binds it where a step needs it more
 often), so composing the steps keeps the expression tree linear in size.  Only
-``fold_unicode`` crosses into Python, and only for the rows that need it: text of
-Latin letters without ``&`` is folded by a character table in the JVM.  Steps
+``fold_unicode`` crosses into Python, and only for the rows that need it: characters that
+fold to one or none, and the usual entities, are handled by tables in the JVM.  Steps
 that most texts do not need are guarded by a plain substring search.
 """
 
@@ -118,47 +118,103 @@ def _fold_udf():
     return F.pandas_udf(fold, StringType())
 
 
+# Entities that are decoded in the JVM; the ampersand is the last one to be decoded.
+USUAL_ENTITIES = {
+    "lt": "<",
+    "gt": ">",
+    "quot": '"',
+    "apos": "'",
+    "#39": "'",
+    "#x27": "'",
+    "nbsp": "\u00a0",
+    "copy": "\u00a9",
+    "reg": "\u00ae",
+    "middot": "\u00b7",
+    "mdash": "\u2014",
+    "ndash": "\u2013",
+    "lsquo": "\u2018",
+    "rsquo": "\u2019",
+    "ldquo": "\u201c",
+    "rdquo": "\u201d",
+    "euro": "\u20ac",
+    "amp": "&",
+}
+# Frequent characters that fold to several; all others of that kind go to Python.
+USUAL_EXPANSIONS = "\u2026\u2122\u00bd\u00bc\u00be\ufb01\ufb02"
+
+
+def _folded(char: str) -> str:
+    decomposed = unicodedata.normalize("NFKD", char)
+    return "".join(c for c in decomposed if not unicodedata.combining(c))
+
+
 @cache
-def _latin_table() -> tuple[str, str, str]:
-    """Latin letters folded one to one: from, to, and all safe characters.
+def _fold_table() -> tuple[str, str, str]:
+    """Folding of the whole Unicode database: from, to, class of what needs Python.
 
-    Derived from the Unicode database for the blocks Latin-1 and Latin
-    Extended-A; characters that decompose into several are not safe.
+    Marks are dropped, so their order does not matter and characters fold one by one.
+    Most fold to themselves.  ``from`` has those that become one other character, then,
+    without a partner in ``to``, those that vanish; the class has those that become several
+    and those beyond the basic plane that change.
     """
-    source, target, safe = [], [], []
-    for char in map(chr, range(0x80, 0x180)):
-        folded = "".join(
-            c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
-        )
-        if len(folded) == 1:
-            safe.append(ord(char))
-            if folded != char:
-                source.append(char)
-                target.append(folded)
-    return "".join(source), "".join(target), _as_ranges(safe, "\\x{{{:x}}}")
+    source, target, gone, several = [], [], [], []
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if 0xD800 <= code <= 0xDFFF:
+            continue
+        folded = _folded(char)
+        if code > 0xFFFF and folded != char:  # Spark translates one UTF-16 unit at a time
+            several.append(code)
+        elif not folded:
+            gone.append(char)
+        elif len(folded) > 1:
+            if char not in USUAL_EXPANSIONS:
+                several.append(code)
+        elif folded != char:
+            source.append(char)
+            target.append(folded)
+    return "".join(source + gone), "".join(target), _as_ranges(several, "\\x{{{:x}}}")
+
+
+def _decode_usual(text: Column) -> Column:
+    for name, char in USUAL_ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
+def _has_unusual_entity(text: Column) -> Column:
+    """Whether an ``&`` begins something that may be an entity and is no usual one."""
+    return text.rlike(f"&(?=[#A-Za-z])(?!(?:{'|'.join(USUAL_ENTITIES)});)")
 
 
 def fold_unicode(text: Column) -> Column:
     """Decode HTML entities, decompose (NFKD) and drop combining marks."""
     text = text_or_empty(text)
-    source, target, safe = _latin_table()
+    source, target, several = _fold_table()
     # As many bytes as characters: ASCII, told without a pattern.
-    ascii_only = F.octet_length(text) == F.length(text)
-    # Else any ``&`` or character beyond ASCII that is no safe Latin letter.  The
-    # look-behind keeps the long class off the ASCII characters.
-    needs_python = F.when(ascii_only, text.contains("&")).otherwise(
-        text.rlike(f"[^\\x00-\\x25\\x27-\\x7f](?<![{safe}])")
-    )
-    return F.coalesce(
-        _fold_udf()(F.when(needs_python, text)),
-        F.when(ascii_only, text).otherwise(F.translate(text, source, target)),
-    )
+    ascii_only = lambda t: F.octet_length(t) == F.length(t)
+    has_entity = text.contains("&")
+    # The look-ahead keeps the long class off the ASCII characters.
+    expands = ~ascii_only(text) & text.rlike(f"(?![\\x00-\\x7f])[{several}]")
+    needs_python = (has_entity & _has_unusual_entity(text)) | expands
+
+    def native(t: Column) -> Column:
+        expanded = t
+        for char in USUAL_EXPANSIONS:
+            expanded = F.replace(expanded, F.lit(char), F.lit(_folded(char)))
+        return F.when(ascii_only(t), t).otherwise(F.translate(expanded, source, target))
+
+    decoded = F.when(has_entity, _decode_usual(text)).otherwise(text)
+    return F.coalesce(_fold_udf()(F.when(needs_python, text)), let(decoded, native))
 
 
 def unescape_html(text: Column) -> Column:
-    """Decode HTML entities only; rows without ``&`` stay in the JVM."""
+    """Decode HTML entities only; rows without unusual ones stay in the JVM."""
     text = text_or_empty(text)
-    return F.coalesce(_unescape_udf()(F.when(text.contains("&"), text)), text)
+    has_entity = text.contains("&")
+    unusual = F.when(has_entity & _has_unusual_entity(text), text)
+    usual = F.when(has_entity, _decode_usual(text)).otherwise(text)
+    return F.coalesce(_unescape_udf()(unusual), usual)
 
 
 @cache

@@ -173,3 +173,43 @@ def test_ngrams_and_counts(column):
         [],
         [("x", 1)],
     ]
+
+
+def test_every_character_folds(spark):
+    """All code points one by one against Python, and which of them need Python."""
+    import html
+    import sys
+    import unicodedata
+
+    codes = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    codes = [c for c in codes if unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    df = spark.createDataFrame([(c, chr(c)) for c in codes], "code int, text string")
+    got = {r.code: r.folded for r in df.select("code", T.fold_unicode(F.col("text")).alias("folded")).collect()}
+    fold = lambda t: "".join(
+        c for c in unicodedata.normalize("NFKD", html.unescape(t)) if not unicodedata.combining(c)
+    )
+    wrong = [c for c in codes if got[c] != fold(chr(c))]
+    assert not wrong
+    source, target, several = T._fold_table()
+    for text in ("emoji 😀🎉", "dash \u2014 \u2013", "Привет, ёлка й", "漢字", "\u2026 \u2122 ½ ﬁ", "e\u0301 ä"):
+        python = spark.createDataFrame([(text,)], "t string").where(
+            F.col("t").rlike(f"[{several}]")
+        )
+        assert python.count() == 0
+
+
+ENTITIES = [
+    "a &lt;b&gt; &amp; c", "&amp;lt; &amp;amp;", "&nbsp;x&nbsp;", "&copy; 2020 &mdash; &quot;q&quot;",
+    "&#39;s &#x27;", "&lt no semicolon", "AT&T & co", "&unknown; &notit;", "&#128512; &#38;lt;", "&&lt;;", "&amp", "é &eacute; &hellip;",
+]
+
+
+def test_entities(column):
+    import html
+    import unicodedata
+
+    assert column(T.unescape_html, ENTITIES) == [html.unescape(t) for t in ENTITIES]
+    assert column(T.fold_unicode, ENTITIES) == [
+        "".join(c for c in unicodedata.normalize("NFKD", html.unescape(t)) if not unicodedata.combining(c))
+        for t in ENTITIES
+    ]
