@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from civilspark import fixed_values as fixed
 from civilspark.functions.text import has_min_length
 from civilspark.operators.sizes import broadcast_if_small
+from civilspark.session import materialise
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -43,30 +44,30 @@ def text_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def first_ids(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Lowest id of every distinct text (missing texts count as one).
+def copy_ids(keyed: DataFrame, key_col: str, id_col: str) -> DataFrame:
+    """Ids of all rows of ``keyed`` but the first, by unique id, of every key.
 
-    Only digests and ids are shuffled, and map-side aggregation leaves one row
-    per task for a text that fills a third of the table.
+    A missing key counts as one key.  Rows without an id have no order among copies: none
+    of them is a copy, so all stay, here and wherever this list is applied.  Map-side
+    aggregation leaves one row per task for a key that fills a third of the table.
     """
-    return (
-        df.select(text_key(F.col(text_col)).alias("_key"), id_col)
-        .groupBy("_key")
-        .agg(F.min(id_col).alias(id_col))
-        .select(id_col)
-    )
+    known = keyed.where(F.col(id_col).isNotNull())
+    first = known.groupBy(key_col).agg(F.min(id_col).alias(id_col)).select(id_col)
+    return known.select(id_col).join(first, id_col, "left_anti")
 
 
 def drop_duplicate_texts(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Keep the first row (by unique id) of every distinct text.
 
-    The rows meet the surviving ids on the id, which is unique, so a text with
-    many copies makes no hot join key.  Rows without an id have no order among
-    copies; all of them stay.
+    Digests and ids are written once; the ids to remove come from them.  Few of them are
+    broadcast, so that no text moves and texts are read once more; many are joined on the
+    id, which is unique, so a text with many copies makes no hot key.
     """
-    return df.where(F.col(id_col).isNotNull()).join(
-        first_ids(df, text_col, id_col), id_col, "left_semi"
-    ).unionByName(df.where(F.col(id_col).isNull()))
+    keyed = materialise(df.select(F.col(id_col), text_key(F.col(text_col)).alias("_key")), "keys")
+    gone = materialise(copy_ids(keyed, "_key", id_col), "copies")
+    return df.join(broadcast_if_small(gone, as_literals=False), id_col, "left_anti").select(
+        *df.columns
+    )
 
 
 def duplicate_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -108,8 +109,12 @@ def min_length_filter(
 
 
 def split_key(id_col: str, seed: int = fixed.SEED) -> Column:
-    """Seeded pseudo-random order of the rows, reproducible in plain SQL."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    """Seeded pseudo-random order of the rows, reproducible in plain SQL.
+
+    Rows without an id have one place in it, so a class has them all in one part.
+    """
+    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}|"), text))
 
 
 def stratified_split(

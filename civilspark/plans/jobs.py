@@ -19,7 +19,7 @@ from civilspark.functions.text import (
 from civilspark.operators import heads as linear_heads
 from civilspark.operators import metrics, models
 from civilspark.operators.explain import explain_by_occlusion
-from civilspark.operators.prepare import stratified_split, text_key
+from civilspark.operators.prepare import copy_ids, stratified_split, text_key
 from civilspark.operators.scoring import predict, predict_batch
 from civilspark.session import materialise
 
@@ -34,9 +34,9 @@ def prepare_dataset(
 ) -> DataFrame:
     """Dedupe (keep first), length filter, stratified split: ``(id, label, split)``.
 
-    Texts are read once and leave the scan as a digest and a flag; only ids,
-    labels and digests are shuffled.  The narrow survivors are written down,
-    because the split passes over them several times.
+    Texts are read once and leave the scan as a digest and a flag, which are written;
+    only ids, labels and digests are shuffled.  Rows without an id are no copies and stay,
+    as in ``prepare.drop_duplicate_texts``.
     """
     narrow = df.select(
         F.col(id_col),
@@ -44,9 +44,10 @@ def prepare_dataset(
         text_key(F.col(text_col)).alias("_key"),
         has_min_length(F.col(text_col), min_length).alias("_long"),
     )
-    first = narrow.groupBy("_key").agg(F.min(id_col).alias(id_col)).select(id_col)
+    narrow = materialise(narrow, "keys")
+    gone = copy_ids(narrow, "_key", id_col)
     survivors = (
-        narrow.where("_long").select(id_col, label_col).join(first, id_col, "left_semi")
+        narrow.where("_long").select(id_col, label_col).join(gone, id_col, "left_anti")
     )
     return stratified_split(
         materialise(survivors, "survivors"), label_col, id_col, seed
@@ -54,7 +55,10 @@ def prepare_dataset(
 
 
 def attach_split(df: DataFrame, split: DataFrame, id_col: str) -> DataFrame:
-    """Full rows with their split, ready for ``writers.write_splits``."""
+    """Full rows with their split, ready for ``writers.write_splits``.
+
+    Rows without an id cannot be told apart and are left out here.
+    """
     return df.join(split.select(id_col, "split"), id_col)
 
 

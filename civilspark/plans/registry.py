@@ -65,10 +65,10 @@ def dedupe_counts(spark, folder):
 
 def class_distribution(spark, folder):
     docs = documents(spark, folder)
-    first = docs.select("doc_id", "lang").join(
-        prepare.first_ids(docs, "text", "doc_id"), "doc_id", "left_semi"
-    )
-    return prepare.class_distribution(first, "lang")
+    keyed = docs.select("doc_id", "lang", prepare.text_key(F.col("text")).alias("key"))
+    keyed = materialise(keyed, "keys")
+    kept = keyed.join(prepare.copy_ids(keyed, "key", "doc_id"), "doc_id", "left_anti")
+    return prepare.class_distribution(kept, "lang")
 
 
 def min_length_filter(spark, folder):

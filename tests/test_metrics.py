@@ -125,7 +125,7 @@ def test_metrics_document_and_matrix_files(spark, tmp_path):
     matrix = metrics.confusion_matrix(df, CLASSES)
     document = metrics.metrics_document(matrix, CLASSES, "linear")
     writers.write_metrics(document, str(tmp_path / "metrics"))
-    (path,) = (tmp_path / "metrics").glob("*.json")
+    (path,) = (tmp_path / "metrics").glob("*.txt")
     written = json.loads(path.read_text())
     assert list(written) == [
         "model", "macro_f1", "weighted_f1", "accuracy", "classes",
@@ -145,3 +145,29 @@ def test_metrics_document_and_matrix_files(spark, tmp_path):
     assert lines[0].split(",")[1:] == [f"Pred_{c}" for c in CLASSES]
     assert lines[1] == "Actual_age,779,2,0,9,9,1"
     assert len(lines) == 7
+
+
+def test_no_row_is_lost_in_wide_form_and_document(spark, tmp_path):
+    rows = [("a", "a"), ("a", "new"), (None, "b"), ("b", None), ("gone", "gone")]
+    df = spark.createDataFrame(rows, "actual string, pred string")
+    matrix = metrics.confusion_matrix(df, ["a", "b"])
+    wide = {r["class"]: tuple(r)[1:] for r in metrics.confusion_wide(matrix, ["a", "b"]).collect()}
+    assert wide == {"Actual_a": (1, 0, 1), "Actual_b": (0, 0, 1), "Actual_(other)": (0, 1, 1)}
+    writers.write_confusion_matrix(matrix, ["a", "b"], str(tmp_path / "matrix"))
+    (path,) = (tmp_path / "matrix").glob("*.csv")
+    assert len(path.read_text().splitlines()) == 4
+    document = json.loads(metrics.metrics_document(matrix, ["a", "b"], 'quo"ted').first().document)
+    assert document["classes"] == ["a", "b", "(other)", "gone", "new"] and document["model"] == 'quo"ted'
+    assert sum(map(sum, document["confusion_matrix"])) == len(rows)
+    assert document["confusion_matrix"][0] == [1, 0, 0, 0, 1]
+
+
+def test_many_models_in_one_aggregation(spark):
+    df = spark.createDataFrame([("a", 0.2), ("b", 0.6), ("b", 0.95), (None, 0.7)], "actual string, p double")
+    preds = {str(t): F.when(F.col("p") >= t, "b").otherwise("a") for t in (0.5, 0.9)}
+    cells = metrics.confusion_matrices(df, ["a", "b"], preds)
+    for t in (0.5, 0.9):
+        one = df.withColumn("pred", preds[str(t)])
+        want = metrics.confusion_matrix(one, ["a", "b"]).collect()
+        got = cells.where(F.col("model") == str(t)).drop("model").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))

@@ -117,3 +117,17 @@ def test_prepare_dataset(spark):
     assert found == expected_split([(i, f"c{i % 2}") for i in range(60)])
     full = attach_split(df, split, "id")
     assert Counter(r.split for r in full.collect()) == {"train": 48, "val": 6, "test": 6}
+
+
+def test_one_rule_for_rows_without_id(spark):
+    """The same rows stay wherever copies are removed; no text moves for few copies."""
+    rows = [(1, "same text", "a"), (2, "same text", "a"), (None, "same text", "a"), (None, "same text", "b")]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    kept = prepare.drop_duplicate_texts(df, "text", "id")
+    assert kept.columns == df.columns
+    want = Counter((i, label) for i, _, label in rows if i != 2)
+    assert Counter((r.id, r.label) for r in kept.collect()) == want
+    split = prepare_dataset(df, "text", "label", "id")
+    assert Counter((r.id, r.label) for r in split.collect()) == want
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning") == 0

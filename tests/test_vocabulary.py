@@ -3,6 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from collections import Counter
+
 from civilspark.operators import features, vocabulary
 
 
@@ -126,3 +128,39 @@ def test_hot_token_is_combined_before_the_shuffle(spark):
     plan = vocabulary.token_frequency(df, "text")._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert physical.count("HashAggregate") == 2
+
+
+def test_vocabulary_of_string_ids_and_ties(spark, monkeypatch):
+    """Ids of any type; the cut falls into a large tie, ranked by ranges."""
+    from civilspark.operators import ranking
+
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 7)
+    texts = [f"w{k} w{k} common" for k in range(60)] + ["common x", None, ""]
+    rows = [(f"id{99 - i:03d}", i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, n int, text string").repartition(5)
+    for id_col, order in (("id", lambda r: r[0]), ("n", lambda r: r[1])):
+        seen, freq = {}, Counter()
+        for row in sorted(rows, key=order):
+            for token in (row[2] or "").split():
+                seen.setdefault(token, len(seen))
+                freq[token] += 1
+        want = sorted((t for t in freq if freq[t] >= 2), key=lambda t: (-freq[t], seen[t]))
+        for size in (2, 3, 20, 61, 63, 500):
+            got = vocabulary.build_vocabulary(df, "text", id_col, max_vocab_size=size, min_freq=2).collect()
+            in_order = [r.token for r in sorted(got, key=lambda r: r.idx)]
+            assert in_order == ["<pad>", "<unk>", *want[: size - 2]]
+            assert [r.idx for r in sorted(got, key=lambda r: r.idx)] == list(range(len(got)))
+
+
+def test_lookup_beyond_the_broadcast_bound(spark):
+    from civilspark.operators.sizes import lookup
+
+    table = spark.createDataFrame([(f"t{i}", i) for i in range(50)], "token string, idx int")
+    rows = [(i, f"t{i % 70}" if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, token string")
+    want = Counter((i, t, int(t[1:]) if t and int(t[1:]) < 50 else None) for i, t in rows)
+    for bound in (1000, 10):
+        got = lookup(df, table, "token", "idx", max_rows=bound).select("id", "token", "idx")
+        assert Counter(map(tuple, got.collect())) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
