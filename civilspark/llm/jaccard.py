@@ -12,13 +12,14 @@ What keeps large groups of copies from becoming all pairs:
 
 * equal sets are one node, their documents are members of it;
 * each token's documents are first compared with one of them only; pairs that share
-  many tokens are verified and joined to components; this is repeated with other
-  pivots for tokens that several components still share;
-* what is left of contested tokens is compared by difference: each token's documents are
-  laid beside a central one of them, and only documents that differ from it in the same
+  many tokens are verified and joined to components;
+* what is left of contested tokens is compared by difference: near documents are laid
+  beside a central one, as a family, and only those that differ from it in the same
   tokens, of which a link needs a number, are paired, asked for their shared prefix
   tokens, and verified.  Near copies that miss the similarity narrowly share nearly all
-  of their tokens but few of their differences, so they seldom meet.
+  of their tokens but few of their differences, so they seldom meet;
+* documents of different families are counted first against the other family as a whole,
+  the smaller one first; only those that share enough with it are taken apart into pairs.
 
 No link between components is lost, since no two documents of different components
 skip the comparison.  The global order comes from a sketch of shingle frequencies of a
@@ -46,7 +47,7 @@ SKETCH_CHUNKS = 16
 SKETCH_FANIN = 64
 LONGEST = 4  # largest number of prefix tokens asked for
 VERIFY_SHARE = 1 / 16  # cost of verifying one shingle, in postings
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 SLOTS = 1 << 20  # of the hashed ids that texts are looked up in before they are moved
 
 
@@ -484,21 +485,65 @@ def _cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
         )
         .distinct()
     )
-    pairs = materialise(pairs, "family-pairs")
+    sizes = placed.groupBy("family").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("n").alias("least"),
+        F.max("n").alias("most"),
+        F.min("ell").alias("ell"),
+    )
+
+    def of_family(name: str) -> DataFrame:
+        columns = [F.col(c).alias(f"{c}_{name}") for c in ("rows", "least", "most", "ell")]
+        return sizes.select(F.col("family").alias(f"family_{name}"), *columns)
+
+    # The smaller family of a pair is x, and is asked first.
+    pairs = pairs.join(of_family("x"), "family_x").join(of_family("y"), "family_y")
+    turned = F.col("rows_x") > F.col("rows_y")
+    names = [(f"{c}_x", f"{c}_y") for c in ("family", "least", "most", "ell")]
+    straight = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in names]
+    crossed = [F.when(turned, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in names]
+    pairs = materialise(pairs.select(*straight, *crossed), "family-pairs")
 
     def members(name: str) -> DataFrame:
         return placed.select(
-            F.col("token").alias(f"token_{name}"),
+            "token",
             F.col("family").alias(f"family_{name}"),
             F.col("comp").alias(f"comp_{name}"),
             F.col("doc").alias(name),
             F.col("n").alias(f"n_{name}"),
-            F.col("ell").alias(f"ell_{name}"),
+            F.col("ell").alias(f"own_{name}"),
         )
 
-    taken = pairs.join(members("x"), "family_x").withColumnRenamed("token_x", "token")
-    taken = taken.join(
-        members("y").withColumnRenamed("token_y", "token"), ["family_y", "token"]
+    def asked(pairs: DataFrame, own: str, other: str) -> DataFrame:
+        """``(pair, token, member)`` of members that share enough tokens with the other family.
+
+        Tokens are counted in the family as a whole, so the rows are the member's tokens
+        and not pairs; what a link with any size that the family has would need is asked.
+        """
+        theirs = placed.select("token", F.col("family").alias(f"family_{other}")).distinct()
+        if own == "x":  # from the smaller family on
+            rows = pairs.join(members("x"), "family_x").join(theirs, ["token", "family_y"])
+        else:
+            rows = pairs.join(theirs, "family_x").join(members("y"), ["family_y", "token"])
+        n, ell = F.col(f"n_{own}"), F.col(f"own_{own}")
+        low = F.greatest(F.col(f"least_{other}"), F.ceil(n * percent / F.lit(100)))
+        high = F.least(F.col(f"most_{other}"), F.floor(n * 100 / F.lit(percent)))
+        behind = F.greatest(_need(n, percent) - ell, _need(high, percent) - F.col(f"ell_{other}"))
+        key = ["family_x", "family_y", own, f"n_{own}", f"own_{own}"]
+        counted = rows.groupBy(*key, "least_x", "most_x", "least_y", "most_y", "ell_x", "ell_y").agg(
+            F.count(F.lit(1)).alias("shared")
+        )
+        enough = (low <= high) & (F.col("shared") >= F.least(ell, F.col(f"ell_{other}")))
+        enough &= F.col("shared") + behind >= _overlap(n, low, percent)
+        kept = counted.where(enough).select(*key)
+        return materialise(rows.join(kept, key, "left_semi"), f"asked-{own}")
+
+    asked_x = asked(pairs, "x", "y")
+    left = pairs.join(asked_x.select("family_x", "family_y").distinct(), ["family_x", "family_y"], "left_semi")
+    asked_y = asked(left, "y", "x")
+    key = ["family_x", "family_y", "token"]
+    taken = asked_x.select(*key, "x", "comp_x", "n_x", F.col("own_x").alias("ell_x")).join(
+        asked_y.select(*key, "y", "comp_y", "n_y", F.col("own_y").alias("ell_y")), key
     ).where("comp_x <> comp_y")
     counted = (
         taken.where(F.col("n_x") * 100 >= F.col("n_y") * percent)
@@ -507,7 +552,7 @@ def _cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("shared"))
     )
     counted = counted.where(_promising("x", "y", F.col("shared"), percent))
-    return counted.select("x", "y").distinct()
+    return counted.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def near_components(
