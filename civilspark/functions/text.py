@@ -38,6 +38,8 @@ _LEET_WORD = f"(?=[a-z])(?<!{WORD})(?:{java_pattern(LEET_WORD_PATTERN)})"
 # What a word needs to be changed at all: a digit after a letter, or symbols
 # between a letter and a further word character.
 _LEET_HINT = f"[a-z](?:[0-9]|[!@*$+]+{WORD})"
+# A text without any of these has no such word, which one class tells sooner.
+_LEET_SIGNS = "[0-9!@*$+]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -194,8 +196,9 @@ def fold_unicode(text: Column) -> Column:
     # As many bytes as characters: ASCII, told without a pattern.
     ascii_only = lambda t: F.octet_length(t) == F.length(t)
     has_entity = text.contains("&")
-    # The look-ahead keeps the long class off the ASCII characters.
-    expands = ~ascii_only(text) & text.rlike(f"(?![\\x00-\\x7f])[{several}]")
+    # The look-ahead keeps the long class off the characters before its first one.
+    ahead = int(several[3 : several.index("}")], 16) - 1
+    expands = ~ascii_only(text) & text.rlike(f"(?![\\x00-\\x{{{ahead:x}}}])[{several}]")
     needs_python = (has_entity & _has_unusual_entity(text)) | expands
 
     def native(t: Column) -> Column:
@@ -278,7 +281,7 @@ def decode_leet(text: Column) -> Column:
 
     return let(
         text_or_empty(text),
-        lambda t: F.when(t.rlike(_LEET_HINT), rebuild(t)).otherwise(t),
+        lambda t: F.when(t.rlike(_LEET_SIGNS) & t.rlike(_LEET_HINT), rebuild(t)).otherwise(t),
     )
 
 

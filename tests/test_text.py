@@ -213,3 +213,18 @@ def test_entities(column):
         "".join(c for c in unicodedata.normalize("NFKD", html.unescape(t)) if not unicodedata.combining(c))
         for t in ENTITIES
     ]
+
+
+def test_cheap_guards_miss_nothing(spark):
+    """The characters that skip the long class are not in it; no leet word lacks a sign."""
+    plan = spark.range(1).select(T.clean_text(F.col("id").cast("string")))
+    shown = plan._jdf.queryExecution().analyzed().toString()
+    _, _, several = T._fold_table()
+    assert "(?![\\x00-\\x{131}])" in shown and several.startswith("\\x{132}")
+    assert T._LEET_SIGNS in shown
+    rows = [(chr(c),) for c in range(0x132)]
+    texts = spark.createDataFrame(rows, "t string")
+    assert texts.where(F.col("t").rlike(f"[{several}]")).count() == 0
+    every = spark.createDataFrame([(f"a{chr(c)}b",) for c in range(1, 0x250)], "t string")
+    hinted = every.where(F.col("t").rlike(T._LEET_HINT))
+    assert hinted.count() > 10 and hinted.where(~F.col("t").rlike(T._LEET_SIGNS)).count() == 0
