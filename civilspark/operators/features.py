@@ -43,6 +43,25 @@ def ngram_counts(
     )
 
 
+def term_occurrences(df: DataFrame, keep: Sequence[str], text_col: str, **terms) -> DataFrame:
+    """``(keep..., term, tf, distinct)``: a row per occurrence of a term, with ``tf`` 1, and
+    one per distinct term of each document, with ``tf`` 0 and ``distinct`` true.
+
+    Statistics of terms need no count within the document, so its terms are only laid out
+    twice, which costs less than counting them in the row.
+    """
+    found = df.select(*keep, ngram_terms(F.col(text_col), **terms).alias("_terms"))
+    laid_out = F.posexplode(F.concat("_terms", F.array_distinct("_terms")))
+    return found.select(
+        *keep, F.size("_terms").alias("_n"), laid_out.alias("_pos", "term")
+    ).select(
+        *keep,
+        "term",
+        (F.col("_pos") < F.col("_n")).cast("int").alias("tf"),
+        (F.col("_pos") >= F.col("_n")).alias("distinct"),
+    )
+
+
 def document_terms(df: DataFrame, id_col: str, text_col: str, **terms) -> DataFrame:
     """``(id, term, tf)``, counted inside the row: no shuffle."""
     return df.select(
@@ -55,11 +74,13 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """``(term, df, idf)`` of the most frequent terms, ties alphabetical.
 
-    ``n_docs`` is a table of one row and column: the number of documents.
+    ``rows`` are ``term_occurrences`` or ``document_terms``; ``n_docs`` is a table of one
+    row and column: the number of documents.
     """
+    one = F.count_if("distinct") if "distinct" in rows.columns else F.count(F.lit(1))
     top = (
         rows.groupBy("term")
-        .agg(F.sum("tf").alias("_total"), F.count(F.lit(1)).alias("df"))
+        .agg(F.sum("tf").alias("_total"), one.alias("df"))
         .orderBy(F.desc("_total"), F.asc("term"))
         .limit(max_features)
     )
@@ -76,14 +97,14 @@ def tfidf(
 ) -> DataFrame:
     """``(id, term, weight)``: sublinear tf, smoothed idf, rows of length 1.
 
-    Terms are counted inside the row in both passes.  First pass: term statistics,
-    combined map-side.  Second pass: terms outside the vocabulary are dropped by a
+    First pass: term statistics, combined map-side.  Second pass: terms are counted inside
+    the row, and those outside the vocabulary are dropped by a
     broadcast join (safe, since the vocabulary is limited to ``max_features``); only
     the distinct terms of a document that are left move, once, for its length.
     """
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
     kept = tfidf_vocabulary(
-        document_terms(df, id_col, text_col, **terms), n_docs, max_features
+        term_occurrences(df, [], text_col, **terms), n_docs, max_features
     ).select("term", "idf")
     if max_features <= MAX_BROADCAST_ROWS:
         kept = F.broadcast(kept)

@@ -27,11 +27,10 @@ from civilspark.functions.text import let
 from civilspark.functions.tokens import (
     drop_stop_words,
     ngrams,
-    term_counts,
     whitespace_tokens,
     word_tokens,
 )
-from civilspark.operators.features import ngram_terms
+from civilspark.operators.features import ngram_terms, term_occurrences
 from civilspark.operators.sizes import broadcast_if_small
 from civilspark.session import materialise
 
@@ -131,13 +130,13 @@ def fit_log_odds(
     ``labels`` are columns of 0 and 1; rows without a label do not count for its head.  One
     aggregation by term, combined map-side, gives vocabulary, idf and all weights.
     """
-    terms = labelled.select(*labels, F.inline(term_counts(ngram_terms(F.col(text_col)))))
+    terms = term_occurrences(labelled, labels, text_col)
     n_docs = labelled.agg(F.count(F.lit(1)).alias("n_docs"))
     per_term = terms.groupBy("term").agg(
         F.sum("tf").alias("total"),
-        F.count(F.lit(1)).alias("df"),
-        *[F.count_if(F.col(l) == 1).alias(f"_pos_{l}") for l in labels],
-        *[F.count_if(F.col(l) == 0).alias(f"_neg_{l}") for l in labels],
+        F.count_if("distinct").alias("df"),
+        *[F.count_if(F.col("distinct") & (F.col(l) == 1)).alias(f"_pos_{l}") for l in labels],
+        *[F.count_if(F.col("distinct") & (F.col(l) == 0)).alias(f"_neg_{l}") for l in labels],
     )
     top = per_term.orderBy(F.desc("total"), "term").limit(max_features)
     sizes = labelled.agg(

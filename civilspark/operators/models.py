@@ -33,11 +33,10 @@ from pyspark.sql.types import StructField, StructType
 from civilspark import fixed_values as fixed
 from civilspark.functions.regex import WORD
 from civilspark.functions.scores import argmax_index
-from civilspark.functions.tokens import term_counts
 from civilspark.operators import metrics
 from civilspark.operators.features import (
     balanced_weights,
-    ngram_terms,
+    term_occurrences,
     tfidf_vocabulary,
 )
 from civilspark.operators.sizes import broadcast_if_small
@@ -85,9 +84,7 @@ def fit_tfidf(
     The vocabulary and its idf come from one aggregation, the same as in
     ``features.tfidf``; features are in alphabetical order of the terms.
     """
-    counted = train.select(
-        F.inline(term_counts(ngram_terms(F.col(text_col), stop_words=stop_words)))
-    )
+    counted = term_occurrences(train, [], text_col, stop_words=stop_words)
     n_docs = train.agg(F.count(F.lit(1)).alias("n_docs"))
     # At most max_features rows, which the model holds anyway.
     kept = sorted(tfidf_vocabulary(counted, n_docs, max_features).collect())

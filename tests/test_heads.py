@@ -128,3 +128,22 @@ def test_default_needs_no_lexicon(spark):
     assert row.is_toxic and row.token_highlights == []
     with pytest.raises(ValueError):
         scoring.predict(comments, "text", scorer, highlight_tokens=True)
+
+
+def test_term_statistics_without_counts_per_document(spark):
+    """Occurrences give the statistics that terms counted in each document give."""
+    rows = [(1, "bad bad idiot bad"), (2, None), (3, ""), (4, "the idiot said bad things"), (1, "bad bad")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    counted = features.document_terms(df, "id", "text").groupBy("term").agg(
+        F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")
+    )
+    spread = features.term_occurrences(df, ["id"], "text").groupBy("term").agg(
+        F.sum("tf").alias("total"), F.count_if("distinct").alias("df")
+    )
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, counted.collect()))
+    n_docs = df.agg(F.count(F.lit(1)))
+    both = [
+        [tuple(r) for r in features.tfidf_vocabulary(rows, n_docs, 3).collect()]
+        for rows in (features.document_terms(df, "id", "text"), features.term_occurrences(df, [], "text"))
+    ]
+    assert both[0] == both[1] and len(both[0]) == 3
