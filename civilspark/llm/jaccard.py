@@ -48,16 +48,24 @@ SKETCH_FANIN = 64
 LONGEST = 4  # largest number of prefix tokens asked for
 VERIFY_SHARE = 1 / 16  # cost of verifying one shingle, in postings
 STAR_ROUNDS = 1
+SLICE = 1000  # rows of a batch whose shingles are held at once
 SLOTS = 1 << 20  # of the hashed ids that texts are looked up in before they are moved
 
 
+def _slices(batches, rows: int = SLICE):
+    """Few rows at a time, so that a worker never holds the shingles of a whole batch."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
+
+
 def _profile(docs: DataFrame, width: int) -> DataFrame:
     """A row ``(doc_id, n, sig)`` per text; sketch rows ``(part, counts)`` per task."""
     buckets = 1 << SKETCH_BITS
 
     def profile(batches):
         counts = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, sigs, pending = [], [], []
             for text in batch["text"]:
                 tokens = shingle_set(text, width)
@@ -106,7 +114,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) ->
 
     def prefixes(batches):
         order = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             ids, sigs, sizes, out = [], [], [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 tokens = shingle_set(text, width)
@@ -203,7 +211,7 @@ def _token_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     )
 
     def sets(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             yield pd.DataFrame(
                 {
                     "doc": batch["doc_id"],
@@ -308,7 +316,7 @@ def _differences(families: DataFrame, percent: int) -> DataFrame:
     """
 
     def differences(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc, old, new in zip(batch["y"], batch["tokens_x"], batch["tokens_y"]):
                 tokens = np.setxor1d(old, new, assume_unique=True)

@@ -614,3 +614,15 @@ def test_names_of_extra_columns(spark):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     (kept,) = contamination.clean(docs, items).collect()
     assert kept.asDict() == {"doc_id": 2, "text": "d", **dict.fromkeys(names, "y")}
+
+
+def test_jaccard_takes_batches_in_slices(spark):
+    """No step holds the shingles of more than a slice, and no row is lost between slices."""
+    import pandas as pd
+
+    parts = list(jaccard._slices([pd.DataFrame({"a": range(2500)}), pd.DataFrame({"a": []})]))
+    assert [len(p) for p in parts] == [1000, 1000, 500]
+    assert list(pd.concat(parts)["a"]) == list(range(2500))
+    docs = [(i, f"one two three {i // 2} five six") for i in range(2300)]
+    got = jaccard.near_components(spark, table(spark, docs).coalesce(1), 3, 90).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in docs}
