@@ -18,8 +18,11 @@ What keeps large groups of copies from becoming all pairs:
   tokens, of which a link needs a number, are paired, asked for their shared prefix
   tokens, and verified.  Near copies that miss the similarity narrowly share nearly all
   of their tokens but few of their differences, so they seldom meet;
-* documents of different families are counted first against the other family as a whole,
-  the smaller one first; only those that share enough with it are taken apart into pairs.
+* documents of different families are first judged by how far the centres of both families
+  are apart: two documents cannot be nearer than that less their distances from their own
+  centres, so most members of a large family meet none of the other families;
+* the others are counted against the other family as a whole, the smaller one first; only
+  those that share enough with it are taken apart into pairs.
 
 No link between components is lost, since no two documents of different components
 skip the comparison.  The global order comes from a sketch of shingle frequencies of a
@@ -201,7 +204,7 @@ def _promising(x: str, y: str, shared: Column, percent: int) -> Column:
 
 
 def _token_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``(doc, tokens)`` of the wanted ``doc``, written."""
+    """``(doc, sig, tokens)`` of the wanted ``doc``, written."""
     wanted = wanted.select(F.col("doc").alias("_doc")).distinct()
     # Hashed ids, SLOTS rows at most, keep most other texts from being moved.
     slot = lambda column: F.pmod(F.xxhash64(column), F.lit(SLOTS))
@@ -212,15 +215,12 @@ def _token_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     def sets(batches):
         for batch in _slices(batches):
-            yield pd.DataFrame(
-                {
-                    "doc": batch["doc_id"],
-                    "tokens": [shingle_set(text, width) for text in batch["text"]],
-                }
-            )
+            tokens = [shingle_set(text, width) for text in batch["text"]]
+            sigs = [hashlib.md5(t.tobytes(), usedforsecurity=False).digest() for t in tokens]
+            yield pd.DataFrame({"doc": batch["doc_id"], "sig": sigs, "tokens": tokens})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tokens = texts.mapInPandas(sets, f"doc {kind}, tokens array<bigint>").distinct()
+    tokens = texts.mapInPandas(sets, f"doc {kind}, sig binary, tokens array<bigint>").distinct()
     return materialise(tokens, "sets")
 
 
@@ -450,8 +450,52 @@ def _with_enough_shared(pairs: DataFrame, postings: DataFrame, percent: int) ->
     return both.where(_promising("x", "y", shared, percent)).select("x", "y").distinct()
 
 
-def _cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """Promising pairs of documents in different families and components."""
+def _apart(pairs: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """``pairs(family_x, family_y)`` with ``apart``, how far the centres are from each other.
+
+    Two sets link if they differ in at most (100 - percent) / (100 + percent) of the sum of
+    their sizes.  Sets that are ``off`` their centres by so many tokens differ in at least
+    the distance of the centres less both, so a link needs ``apart``, which is 100 + percent
+    times that distance, to be within the sum of both ``reach`` (see ``_reach``).  Families
+    with several centres count with the nearest, those without one as not apart.
+    """
+
+    def side(name: str) -> DataFrame:
+        return centres.select(F.col("family").alias(f"family_{name}"), F.col("tokens").alias(f"tokens_{name}"))
+
+    key = ["family_x", "family_y"]
+    both = pairs.select(*key).join(side("x"), "family_x").join(side("y"), "family_y")
+    shared = F.size(F.array_intersect("tokens_x", "tokens_y"))
+    differing = (F.size("tokens_x") + F.size("tokens_y") - 2 * shared).cast("bigint")
+    nearest = both.groupBy(*key).agg((F.min(differing) * (100 + percent)).alias("apart"))
+    return pairs.join(nearest, key, "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
+
+
+def _reach(off: Column, n: Column, percent: int) -> Column:
+    """How much of ``apart`` a set of n tokens that is ``off`` its centre may make up."""
+    return off * (100 + percent) + n * (100 - percent)
+
+
+def _centres(pairs: DataFrame, placed: DataFrame, near: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(family, tokens)`` of the families in ``pairs``: the pivot's set, or a lone document's."""
+    wanted = pairs.select(F.col("family_x").alias("family")).union(pairs.select("family_y")).distinct()
+    pivots = near.select(F.hex("sig").alias("family"), "tokens").join(wanted, "family", "left_semi")
+    alone = placed.where("off is null").select("family", "doc").distinct()
+    alone = materialise(alone.join(wanted, "family", "left_semi"), "lone")
+    own = _token_sets(alone, docs, width).join(alone, "doc").select("family", "tokens")
+    return pivots.dropDuplicates(["family"]).union(own)
+
+
+def _cross_pairs(
+    placed: DataFrame, near: DataFrame, docs: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Promising pairs of documents in different families and components.
+
+    ``near`` has the sets of the families' pivots; ``placed`` tells in ``off`` in how many
+    tokens a document differs from its pivot, null for families of one document.
+    """
+    off = F.coalesce("off", F.lit(0)).cast("bigint")
+    placed = placed.withColumn("reach", _reach(off, F.col("n"), percent))
     # A family whose members are all linked needs no comparison with its own component.
     inside = placed.groupBy("family").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
     whole = F.when(F.col("least") == F.col("most"), F.col("least")).alias("whole")
@@ -498,28 +542,36 @@ def _cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
         F.min("n").alias("least"),
         F.max("n").alias("most"),
         F.min("ell").alias("ell"),
+        F.max("reach").alias("far"),
     )
 
     def of_family(name: str) -> DataFrame:
-        columns = [F.col(c).alias(f"{c}_{name}") for c in ("rows", "least", "most", "ell")]
+        columns = [F.col(c).alias(f"{c}_{name}") for c in ("rows", "least", "most", "ell", "far")]
         return sizes.select(F.col("family").alias(f"family_{name}"), *columns)
 
     # The smaller family of a pair is x, and is asked first.
     pairs = pairs.join(of_family("x"), "family_x").join(of_family("y"), "family_y")
     turned = F.col("rows_x") > F.col("rows_y")
-    names = [(f"{c}_x", f"{c}_y") for c in ("family", "least", "most", "ell")]
+    names = [(f"{c}_x", f"{c}_y") for c in ("family", "least", "most", "ell", "far")]
     straight = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in names]
     crossed = [F.when(turned, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in names]
     pairs = materialise(pairs.select(*straight, *crossed), "family-pairs")
-
-    def members(name: str) -> DataFrame:
-        return placed.select(
+    pairs = _apart(pairs, _centres(pairs, placed, near, docs, width), percent)
+    pairs = materialise(pairs.where(F.col("apart") <= F.col("far_x") + F.col("far_y")), "near-families")
+
+    def members(name: str, other: str, pairs: DataFrame) -> DataFrame:
+        """Documents that reach far enough for one of the pairs of their family."""
+        family = F.col(f"family_{name}").alias("_family")
+        least = pairs.groupBy(family).agg(F.min(F.col("apart") - F.col(f"far_{other}")).alias("_least"))
+        own = placed.join(least, F.col("family") == F.col("_family")).where("reach >= _least")
+        return own.select(
             "token",
             F.col("family").alias(f"family_{name}"),
             F.col("comp").alias(f"comp_{name}"),
             F.col("doc").alias(name),
             F.col("n").alias(f"n_{name}"),
             F.col("ell").alias(f"own_{name}"),
+            F.col("reach").alias(f"reach_{name}"),
         )
 
     def asked(pairs: DataFrame, own: str, other: str) -> DataFrame:
@@ -530,9 +582,10 @@ def _cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
         """
         theirs = placed.select("token", F.col("family").alias(f"family_{other}")).distinct()
         if own == "x":  # from the smaller family on
-            rows = pairs.join(members("x"), "family_x").join(theirs, ["token", "family_y"])
+            rows = pairs.join(members("x", "y", pairs), "family_x").join(theirs, ["token", "family_y"])
         else:
-            rows = pairs.join(theirs, "family_x").join(members("y"), ["family_y", "token"])
+            rows = pairs.join(theirs, "family_x").join(members("y", "x", pairs), ["family_y", "token"])
+        rows = rows.where(F.col("apart") <= F.col(f"reach_{own}") + F.col(f"far_{other}"))
         n, ell = F.col(f"n_{own}"), F.col(f"own_{own}")
         low = F.greatest(F.col(f"least_{other}"), F.ceil(n * percent / F.lit(100)))
         high = F.least(F.col(f"most_{other}"), F.floor(n * 100 / F.lit(percent)))
@@ -547,12 +600,15 @@ def _cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
         return materialise(rows.join(kept, key, "left_semi"), f"asked-{own}")
 
     asked_x = asked(pairs, "x", "y")
-    left = pairs.join(asked_x.select("family_x", "family_y").distinct(), ["family_x", "family_y"], "left_semi")
+    # From here on, the family on the first side is what has been left of it.
+    of = ["family_x", "family_y"]
+    left = asked_x.groupBy(*of).agg(F.max("reach_x").alias("far_x"))
+    left = pairs.drop("far_x").join(left, of).where(F.col("apart") <= F.col("far_x") + F.col("far_y"))
     asked_y = asked(left, "y", "x")
     key = ["family_x", "family_y", "token"]
-    taken = asked_x.select(*key, "x", "comp_x", "n_x", F.col("own_x").alias("ell_x")).join(
-        asked_y.select(*key, "y", "comp_y", "n_y", F.col("own_y").alias("ell_y")), key
-    ).where("comp_x <> comp_y")
+    taken = asked_x.select(*key, "apart", "x", "comp_x", "n_x", "reach_x", F.col("own_x").alias("ell_x")).join(
+        asked_y.select(*key, "y", "comp_y", "n_y", "reach_y", F.col("own_y").alias("ell_y")), key
+    ).where("comp_x <> comp_y and apart <= reach_x + reach_y")
     counted = (
         taken.where(F.col("n_x") * 100 >= F.col("n_y") * percent)
         .where(F.col("n_y") * 100 >= F.col("n_x") * percent)
@@ -622,23 +678,26 @@ def near_components(
         active = _contested(postings, found)
     families = materialise(_families(active, percent), "families")
     ends = families.select(F.col("x").alias("doc")).union(families.select("y"))
-    members = _with_sets(families, _token_sets(ends, docs, width))
+    near = _token_sets(ends, docs, width)
+    members = _with_sets(families, near)
     differences = materialise(_differences(members, percent), "differences")
     deltas = materialise(_deltas(differences, percent), "family-deltas")
     hub_links = deltas.where("linked").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     found = components(found.toDF("a", "b").union(hub_links))
     inside = _with_enough_shared(_delta_pairs(_placed(deltas, found), percent), postings, percent)
     # An id with several texts may be near two pivots or none; it is a family of its own.
-    whole = deltas.groupBy("doc").agg(
-        F.min("pivot").alias("family"), F.count(F.lit(1)).alias("texts")
+    whole = differences.groupBy("doc").agg(
+        F.min("pivot").alias("family"),
+        F.count(F.lit(1)).alias("texts"),
+        F.max(F.size("tokens")).alias("off"),
     )
     several_texts = several.select(F.col("a").alias("doc")).distinct()
     whole = whole.where("texts = 1").join(several_texts, "doc", "left_anti")
-    whole = whole.select(F.col("doc").alias("_doc"), F.hex("family").alias("_family"))
+    whole = whole.select(F.col("doc").alias("_doc"), F.hex("family").alias("_family"), "off")
     family = F.coalesce("_family", F.concat(F.lit("="), F.col("doc").cast("string")))
     active = _contested(postings, found).join(whole, F.col("doc") == F.col("_doc"), "left")
     active = materialise(active.withColumn("family", family).drop("_doc", "_family"), "contested")
-    joined(inside.union(_cross_pairs(active, percent)).distinct())
+    joined(inside.union(_cross_pairs(active, near, docs, width, percent)).distinct())
     placed = nodes.join(found, F.col("rep") == F.col("node"), "left").select(
         "sig", F.coalesce("component", "rep").alias("found")
     )

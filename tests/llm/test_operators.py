@@ -626,3 +626,17 @@ def test_jaccard_takes_batches_in_slices(spark):
     docs = [(i, f"one two three {i // 2} five six") for i in range(2300)]
     got = jaccard.near_components(spark, table(spark, docs).coalesce(1), 3, 90).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in docs}
+
+
+def test_jaccard_asks_no_member_that_is_too_near_its_centre(spark):
+    """Of a large family, only members that reach as far as another centre meet its documents."""
+    off = {i: 1 for i in range(50)} | {7: 39}
+    rows = [(k, i, 20, 1, k, i, "46", n) for i, n in off.items() for k in range(10)]
+    rows += [(k, 1000, 20, 1, k, 1000, "=1000", None) for k in range(10)]
+    placed = spark.createDataFrame(
+        rows, "token bigint, doc bigint, n bigint, ell int, pos int, comp bigint, family string, off int"
+    )
+    docs = table(spark, [(1000, " ".join(f"w{i}" for i in range(20)))])
+    near = spark.createDataFrame([(0, b"F", list(range(20)))], "doc bigint, sig binary, tokens array<bigint>")
+    pairs = jaccard._cross_pairs(placed, near, docs, 1, 90).collect()
+    assert [(r.x, r.y) for r in pairs] == [(7, 1000)]
