@@ -52,6 +52,7 @@ LONGEST = 4  # largest number of prefix tokens asked for
 VERIFY_SHARE = 1 / 16  # cost of verifying one shingle, in postings
 STAR_ROUNDS = 1
 SLICE = 1000  # rows of a batch whose shingles are held at once
+BATCH = 250  # rows whose texts go to a worker at once
 SLOTS = 1 << 20  # of the hashed ids that texts are looked up in before they are moved
 
 
@@ -221,7 +222,7 @@ def _token_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = texts.mapInPandas(sets, f"doc {kind}, sig binary, tokens array<bigint>").distinct()
-    return materialise(tokens, "sets")
+    return materialise(tokens, "sets", BATCH)
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -633,7 +634,7 @@ def near_components(
     ``component_id`` is the smallest id reachable by links.
     """
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    profile = materialise(_profile(docs, width), "profile")
+    profile = materialise(_profile(docs, width), "profile", BATCH)
     texts = profile.where("part = -1")
     with_words = texts.where("n > 0 and doc_id is not null")
     nodes = with_words.groupBy("sig").agg(F.min("doc_id").alias("rep"))
@@ -649,6 +650,7 @@ def near_components(
             F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "token")
         ).distinct(),
         "prefixes",
+        BATCH,
     )
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     postings = materialise(tokens.join(shared, "token"), "postings")
@@ -680,7 +682,7 @@ def near_components(
     ends = families.select(F.col("x").alias("doc")).union(families.select("y"))
     near = _token_sets(ends, docs, width)
     members = _with_sets(families, near)
-    differences = materialise(_differences(members, percent), "differences")
+    differences = materialise(_differences(members, percent), "differences", BATCH)
     deltas = materialise(_deltas(differences, percent), "family-deltas")
     hub_links = deltas.where("linked").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     found = components(found.toDF("a", "b").union(hub_links))

@@ -640,3 +640,18 @@ def test_jaccard_asks_no_member_that_is_too_near_its_centre(spark):
     near = spark.createDataFrame([(0, b"F", list(range(20)))], "doc bigint, sig binary, tokens array<bigint>")
     pairs = jaccard._cross_pairs(placed, near, docs, 1, 90).collect()
     assert [(r.x, r.y) for r in pairs] == [(7, 1000)]
+
+
+def test_written_python_steps_get_small_batches(spark):
+    """Texts of a whole Arrow batch, 10,000 rows by default, are never in memory at once."""
+    import pandas as pd
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"rows": [len(batch)]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(0, 95, 1, 1).mapInPandas(sizes, "rows bigint")
+    got = [r.rows for r in materialise(rows, "sizes", 10).collect()]
+    assert sum(got) == 95 and max(got) <= 10
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
