@@ -41,6 +41,7 @@ from civilspark.operators.features import (
 )
 from civilspark.operators.sizes import broadcast_if_small
 from civilspark.operators.vocabulary import build_vocabulary, decode, encode
+from civilspark.session import materialise
 
 
 class SublinearTf(
@@ -129,6 +130,8 @@ def tfidf_terms(model: PipelineModel) -> list[str]:
 # Every gradient step sends one copy of the coefficients per task, so a task
 # should bring enough rows to be worth it.
 ROWS_PER_FIT_TASK = 5000
+# Row groups of written features: a task holds one or two of them.
+FEATURE_GROUP_BYTES = 16 << 20
 
 
 def _for_fitting(df: DataFrame, rows: int) -> DataFrame:
@@ -142,6 +145,16 @@ def add_features(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, "features")
 
 
+def written_features(model: PipelineModel, df: DataFrame, label_col: str) -> DataFrame:
+    """``(label, features)``, written down without the texts.
+
+    A fit keeps its own copy of the features in memory and on disk; a second one held by
+    executors, with texts, would leave their tasks too little memory.
+    """
+    featured = add_features(model, df).select(label_col, "features")
+    return materialise(featured, "features", group_bytes=FEATURE_GROUP_BYTES)
+
+
 def with_class_weights(df: DataFrame, label_col: str) -> DataFrame:
     """Add the balanced class weight as ``weight``."""
     weights = broadcast_if_small(
@@ -186,11 +199,8 @@ def fit_baseline(
 ) -> PipelineModel:
     """TF-IDF and linear model as one pipeline, ready to save."""
     tfidf = fit_tfidf(train, text_col)
-    featured = add_features(tfidf, train.select(label_col, text_col)).persist()
-    try:
-        linear_model = fit_linear(featured, label_col, **linear)
-    finally:
-        featured.unpersist()
+    featured = written_features(tfidf, train.select(label_col, text_col), label_col)
+    linear_model = fit_linear(featured, label_col, **linear)
     return PipelineModel([*tfidf.stages, *linear_model.stages])
 
 

@@ -61,6 +61,24 @@ def test_linear_model(evaluation):
     assert all(r.pred == r.a for r in named.collect())
 
 
+def test_fit_holds_no_second_copy_of_features(texts, monkeypatch):
+    def refused(*_):
+        raise AssertionError("the fit keeps its own copy")
+
+    monkeypatch.setattr(type(texts), "persist", refused)
+    train = texts.where("split = 'train'").unionByName(
+        texts.limit(1).withColumns({"lang": F.lit(None), "text": F.lit("")})
+    )
+    model = models.fit_baseline(train, "lang", "text", max_iter=5)
+    assert models.class_labels(model) == ["cars", "food"]
+    tfidf = models.fit_tfidf(train)
+    written = models.written_features(tfidf, train, "lang")
+    assert written.columns == ["lang", "features"]
+    want = models.add_features(tfidf, train).select("lang", "features")
+    key = lambda r: (str(r.lang), str(r.features))
+    assert sorted(written.collect(), key=key) == sorted(want.collect(), key=key)
+
+
 def test_save_and_evaluate_again(texts, evaluation, tmp_path):
     writers.save_model(evaluation.model, str(tmp_path / "model"))
     loaded = writers.load_model(str(tmp_path / "model"))
