@@ -674,21 +674,17 @@ def select_best_val(spark, folder):
     train = texts.where(F.col("split") == "train").drop("split")
     val = texts.where(F.col("split") == "val").drop("split")
     tfidf = models.fit_tfidf(train)
-    featured = models.add_features(tfidf, train).persist()
-    featured_val = models.add_features(tfidf, val).persist()
-    try:
-        _, _, rows = models.select_best(
-            {
-                f"C={c}": lambda c=c: models.fit_linear(featured, "lang", c=c)
-                for c in (0.5, fixed.LINEAR_C, 4.5)
-            },
-            featured_val,
-            "lang",
-            metrics.class_list(train, "lang"),
-        )
-    finally:
-        featured.unpersist()
-        featured_val.unpersist()
+    featured = models.written_features(tfidf, train, "lang")
+    featured_val = models.written_features(tfidf, val, "lang")
+    _, _, rows = models.select_best(
+        {
+            f"C={c}": lambda c=c: models.fit_linear(featured, "lang", c=c)
+            for c in (0.5, fixed.LINEAR_C, 4.5)
+        },
+        featured_val,
+        "lang",
+        metrics.class_list(train, "lang"),
+    )
     return spark.createDataFrame(
         [(name, round(score, 4), best) for name, score, best in rows],
         "candidate string, val_macro_f1 double, selected boolean",

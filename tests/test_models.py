@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civilspark.operators import features, metrics, models, scoring
-from civilspark.plans import jobs
+from civilspark.plans import jobs, registry
 from civilspark.sources import writers
 
 
@@ -122,6 +122,21 @@ def test_select_best_keeps_the_first_of_equals(texts, evaluation):
     assert rows == [("one", 1.0, True), ("two", 1.0, False)]
 
 
+def test_select_best_query_holds_no_second_copy_of_features(spark, texts, monkeypatch, tmp_path):
+    docs = texts.select("doc_id", "text", "lang").withColumns(
+        {"text": F.concat("text", F.lit(" "), "doc_id"), "source": F.lit("s"), "n_chars": F.lit(1)}
+    )
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def refused(*_):
+        raise AssertionError("the query keeps its own copy")
+
+    monkeypatch.setattr(type(texts), "persist", refused)
+    rows = registry.select_best_val(spark, str(tmp_path)).collect()
+    assert [r.candidate for r in rows] == ["C=0.5", "C=1.5", "C=4.5"]
+    assert [r.selected for r in rows] == [True, False, False]
+
+
 def test_binary_heads_feed_the_relational_scorer(spark, texts):
     df = texts.select(
         "doc_id",
