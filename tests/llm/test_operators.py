@@ -1,6 +1,7 @@
 """Operators against brute force, with nulls, ties, repeats, odd columns and empty tables."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -141,6 +142,46 @@ def test_scoring(spark):
     assert scoring.score(table(spark, []), models).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 500])
+def test_scoring_with_every_word(spark, frequent):
+    rng = random.Random(3)
+    names = ["the", "of", *[f"w{i}" for i in range(300)]]
+    weights = [90, 60, *[1] * 300]
+    rows = [(i, " ".join(rng.choices(names, weights, k=rng.randrange(1, 40)))) for i in range(40)]
+    rows += [(40, None), (41, " "), (None, "THE only"), (7, "the twin"), (7, "the twin")]
+    marks = [(i, int(i % 3 == 0)) for i in range(20)] + [(3, 1), (7, 1), (8, None), (None, 1)]
+    good = {i for i, m in marks if m == 1 and i is not None}
+    paths = [(i, ["", *(t or "").lower().split(), ""]) for i, t in rows]
+    paths = [(i, p if len(p) > 2 else []) for i, p in paths]
+    size = len({w for _, p in paths for w in p if w}) + 2
+
+    def model(chosen):
+        pairs = Counter(x for i, p in paths if chosen(i) for x in zip(p, p[1:]))
+        second, first = Counter(), Counter()
+        for (h, w), n in pairs.items():
+            second[w] += n
+            first[h] += n
+        total, mu = sum(pairs.values()), scoring.SMOOTHING
+        return lambda h, w: -math.log(
+            (pairs[h, w] + mu * (second[w] + 1) / (total + size)) / (first[h] + mu)
+        )
+
+    target, background = model(lambda i: i in good), model(lambda i: True)
+    want = []
+    for i, p in paths:
+        n = max(0, len(p) - 1)
+        means = [sum(m(*x) for x in zip(p, p[1:])) / n if n else None for m in (target, background)]
+        want.append((i, n, *means))
+    got = scoring.score_all_words(
+        table(spark, rows), spark.createDataFrame(marks, "doc_id bigint, quality int"), frequent=frequent
+    ).collect()
+    order = lambda r: (str(r[0]), r[1])
+    assert len(got) == len(want)
+    for a, b in zip(sorted((tuple(r)[:4] for r in got), key=order), sorted(want, key=order)):
+        assert a[:2] == b[:2]
+        assert a[2:] == (pytest.approx(b[2:]) if b[1] else (None, None))
+
+
 # ---- 3 ---------------------------------------------------------------------
 
 
